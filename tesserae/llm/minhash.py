@@ -45,6 +45,8 @@ BAND = 4
 BATCH = 16
 MISS = 1e-6
 BLOCK = 256
+#: Class ids (16 bytes) and row ids that may be broadcast.
+FEW_IDS = 500_000
 MAX_ROUNDS = 60
 
 
@@ -119,8 +121,10 @@ def prune(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, stash: Stash) -> DataFrame:
     """Pairs (a, b) that are similar on their full sets; texts come from the classes' first documents."""
     pairs = stash.write(pairs, "survivors")
-    needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "doc_id"), "c")
-    texts = stash.write(docs.join(needed, "doc_id"), "texts").select("c", "text")
+    needed = stash.write(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "doc_id"), "c"), "needed")
+    # a short list of ids is broadcast, so that only the texts it names are moved
+    few = needed.limit(FEW_IDS + 1).count() <= FEW_IDS
+    texts = stash.write(docs.join(F.broadcast(needed) if few else needed, "doc_id"), "texts").select("c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
