@@ -448,8 +448,8 @@ def graph3b(s, d):
     return atomic.graph3b(atomic.edges(_atoms(s, d), [0.03, 0.04]))
 
 
-@query("""SELECT l_partkey % 30 bi, l_suppkey % 30 bj, 0 r, 0 c, round(sum(l_quantity * cos(-2 * pi() * (l_linenumber - 4) * 0.25)), 4) v,
- round(sum(l_quantity * sin(-2 * pi() * (l_linenumber - 4) * 0.25)), 4) w FROM lineitem GROUP BY 1, 2""")
+@query("""SELECT l_partkey % 30 bi, l_suppkey % 30 bj, 0 r, 0 c, round(sum(l_quantity * cos(-2 * pi() * (l_linenumber - 4) * 0.25)), 4) + 0.0 v,
+ round(sum(l_quantity * sin(-2 * pi() * (l_linenumber - 4) * 0.25)), 4) + 0.0 w FROM lineitem GROUP BY 1, 2""")
 def sample_k(s, d):
     x = generate.read(s, d, "lineitem").select((F.col("l_linenumber") - 4).alias("rx"), F.lit(0).alias("ry"), F.lit(0).alias("rz"), (F.col("l_partkey") % 30).alias("bi"), (F.col("l_suppkey") % 30).alias("bj"), F.lit(0).alias("r"), F.lit(0).alias("c"), F.col("l_quantity").alias("v"))
     # + 0.0 turns a rounded -0.0 into 0.0
