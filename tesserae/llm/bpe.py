@@ -102,7 +102,8 @@ class ByteBpe:
         a, b = _CLASS.match(text[at - 1]), _CLASS.match(text[at])
         ka, kb = (a.lastindex if a else 0), (b.lastindex if b else 0)
         if kb == 3:  # white space after something else; inside a run, before its last character if text follows
-            return ka != 3 or (at + 1 < len(text) and not text[at + 1].isspace())
+            # (a special token ends the stretch that is split, so the run before it stays whole)
+            return ka != 3 or (at + 1 < len(text) and not text[at + 1].isspace() and not any(text.startswith(s, at + 1) for s in self.special))
         if ka == 3 or ka == kb:
             return False
         return ka in (1, 2) or kb == 2 or text[at - 1] != "'"
