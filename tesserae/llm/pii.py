@@ -281,5 +281,5 @@ def mask(docs: DataFrame, weights: dict[tuple[str, object], float]) -> DataFrame
     rest = F.substring(F.col("text"), F.element_at("cut", -1)["e"] + 1, F.length("text"))
     text = F.when(F.size("cut") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("row.text"))
     df = df.withColumn("masked", text)
-    new = {"text": F.col("masked")} | ({"n_chars": F.length("masked").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    new = {"text": F.col("masked")} | ({"n_chars": F.when(F.size("cut") > 0, F.length("masked")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return df.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
