@@ -21,13 +21,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.shingles import word_hashes
+
 WORD_BITS = 14
 N_STRUCT = 14
 N_META = 16
@@ -49,23 +50,12 @@ def _byte_classes() -> np.ndarray:
 _CLASSES = _byte_classes()
 
 
-class _Buckets(dict):
-    """Word to bucket; emptied when it grows large, so memory stays bounded."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        out = self[word] = crc32(word.encode()) & (_WORDS - 1)
-        return out
-
-
-def features(text: str, n_chars: int | None, buckets: dict) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the features of one text."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     share = np.bincount(_CLASSES[raw], minlength=8) / max(1, len(raw))
-    words = text.split()
-    n = len(words)
-    ids = np.fromiter(map(buckets.__getitem__, words), np.int64, n)
+    ids = (word_hashes(text) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    n = len(ids)
     distinct, counts = np.unique(ids, return_counts=True)
     lines = [x for x in text.split("\n") if x]
     struct = np.array(
@@ -163,9 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_tr
     picked = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets()
         for batch in batches:
-            got = [features(t, n, buckets) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            got = [features(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([i.astype("<u2").tobytes() for i, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())], ["doc_id", "y", "i", "v"])
 
     # the bound on rows bounds what comes to the driver: about a kilobyte or two each
@@ -179,11 +168,11 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # SIZE * (1 + FACTORS) numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fm, buckets = held.value, _Buckets()
+        fm = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows = [features(t, n, buckets) for t, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                rows = [features(t, n) for t, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fm.score(rows), pa.float64())], ["doc_id", "score"])
 
     return _inputs(docs).mapInArrow(run, "doc_id long, score double")
@@ -194,14 +183,14 @@ def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = T
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fm, buckets = held.value, _Buckets()
+        fm = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 at_n = part.schema.get_field_index("n_chars")
                 counts = part.column(at_n).to_pylist() if at_n >= 0 else [len(t or "") for t in texts]
-                scores = fm.score([features(t or "", n, buckets) for t, n in zip(texts, counts, strict=True)])
+                scores = fm.score([features(t or "", n) for t, n in zip(texts, counts, strict=True)])
                 yield part.filter(pa.array(scores >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
