@@ -8,8 +8,7 @@ its neighbours and its variety of characters. Expectation maximisation
 estimates each labeler's reliability from the counts of vote patterns (at most
 3^8 per kind, so these counts may come to the driver), and its posteriors
 train a logistic span classifier over votes, kind and length, again from
-counts. The classifier then judges every loose span in a second native pass;
-base spans always stay.
+counts. The classifier then judges every loose span; base spans always stay.
 
 Offsets are those of code points, found natively: matches come from
 ``regexp_extract_all`` and the gaps between them from ``split`` with the same
@@ -28,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import Stash
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -74,6 +75,7 @@ def _starts(gaps: Column, matches: Column) -> Column:
 
 
 _SPANS = "array<struct<s:int,e:int,m:string>>"
+_MARKED = "array<struct<k:int,s:int,e:int,v:string,b:int>>"
 
 
 def _spans(kind: str, pattern: str) -> Column:
@@ -162,10 +164,18 @@ def _length_bucket(m: Column) -> Column:
     return F.least(F.lit(7), F.floor(F.log2(F.length(m).cast("double")))).cast("int")
 
 
-def pattern_counts(cands: DataFrame) -> DataFrame:
-    """Counts of (kind, votes, length bucket) over all candidate spans; few rows whatever the input."""
-    one = F.explode(F.transform(F.concat("base", "loose"), lambda x: F.struct(x["k"].alias("k"), votes(F.col("text"), x).alias("v"), _length_bucket(x["m"]).alias("b"))))
-    return cands.where((F.size("base") > 0) | (F.size("loose") > 0)).select(one.alias("x")).groupBy("x.k", "x.v", "x.b").agg(F.count(F.lit(1)).alias("n"))
+def marked(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``candidates`` with each span as (kind, start, end, votes, length bucket), without the matches."""
+    df = candidates(docs, text_col)
+    note = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), votes(F.col("text"), x).alias("v"), _length_bucket(x["m"]).alias("b"))
+    noted = lambda c: F.when(F.size(c) > 0, F.transform(c, note)).otherwise(F.array().cast(_MARKED)).alias(c)
+    return df.select("row", "text", noted("base"), noted("loose"))
+
+
+def pattern_counts(spans: DataFrame) -> DataFrame:
+    """Counts of (kind, votes, length bucket) over all spans of ``marked``; few rows whatever the input."""
+    one = F.explode(F.concat("base", "loose")).alias("x")
+    return spans.select(one).groupBy("x.k", "x.v", "x.b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def estimate(patterns: list[tuple[str, float]], rounds: int = 30) -> tuple[list[float], list[dict[str, tuple[float, float]]]]:
@@ -221,14 +231,14 @@ def classifier(rows: list[tuple[int, str, int, float]], rounds: int = 400, rate:
     return weights
 
 
-def train(docs: DataFrame) -> dict[tuple[str, object], float]:
-    """Estimate reliabilities and train the span classifier over all texts."""
-    counts = pattern_counts(candidates(docs)).collect()  # at most 8 kinds * 3^8 votes * 8 buckets, far fewer in fact
+def train(spans: DataFrame) -> dict[tuple[str, object], float]:
+    """Estimate reliabilities and train the span classifier over all texts' spans (see ``marked``)."""
+    counts = pattern_counts(spans).collect()  # at most 8 kinds * 3^8 votes * 8 buckets, far fewer in fact
     return classifier(sorted((r["k"], r["v"], r["b"], float(r["n"])) for r in counts))
 
 
-def _logit(weights: dict[tuple[str, object], float], v: Column, x: Column) -> Column:
-    def pick(name: str, of: Column, kind: str) -> Column:
+def _logit(weights: dict[tuple[str, object], float], x: Column) -> Column:
+    def pick(name: str, of: Column) -> Column:
         pairs = [(val, w) for (f, val), w in sorted(weights.items(), key=str) if f == name]
         if not pairs:
             return F.lit(0.0)
@@ -237,18 +247,16 @@ def _logit(weights: dict[tuple[str, object], float], v: Column, x: Column) -> Co
             got = F.when(of == F.lit(val), F.lit(float(w))).otherwise(got)
         return got
 
-    out = F.lit(float(weights.get(("", ""), 0.0))) + pick("k", x["k"], "int") + pick("b", _length_bucket(x["m"]), "int")
+    out = F.lit(float(weights.get(("", ""), 0.0))) + pick("k", x["k"]) + pick("b", x["b"])
     for j in range(N_VOTES):
-        out = out + pick(f"v{j}", F.substring(v, j + 1, 1), "string")
+        out = out + pick(f"v{j}", F.substring(x["v"], j + 1, 1))
     return out
 
 
-def find(docs: DataFrame, weights: dict[tuple[str, object], float]) -> DataFrame:
-    """``row``, text, base spans and added spans (those loose ones that the classifier takes)."""
-    df = candidates(docs)
-    judged = F.transform("loose", lambda x: F.struct(x.alias("x"), votes(F.col("text"), x).alias("v")))
-    taken = F.transform(F.filter(judged, lambda y: _logit(weights, y["v"], y["x"]) > 0), lambda y: y["x"])
-    return df.select("row", "text", "base", F.when(F.size("loose") > 0, taken).otherwise(F.col("loose")).alias("added"))
+def find(spans: DataFrame, weights: dict[tuple[str, object], float]) -> DataFrame:
+    """``marked`` with ``added``: those loose spans that the classifier takes."""
+    taken = F.filter("loose", lambda x: _logit(weights, x) > 0)
+    return spans.withColumn("added", F.when(F.size("loose") > 0, taken).otherwise(F.col("loose")))
 
 
 def _text_of(spans: Column) -> Column:
@@ -258,19 +266,31 @@ def _text_of(spans: Column) -> Column:
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    """The contract's columns: counts and digest of base spans, and all spans."""
-    df = find(docs, train(docs))
+    """The contract's columns: counts and digest of base spans, and all spans.
+
+    Spans are found in one pass and written without the texts; training and
+    judging read that table.
+    """
+    spans = Stash(docs.sparkSession).write(marked(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), "base", "loose"), "spans")
+    df = find(spans, train(spans))
     count = lambda kind: F.size(F.filter("base", lambda x: x["k"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return df.select(F.col("row.doc_id").cast("long").alias("doc_id"), *map(count, BASE), F.sha2(_text_of(F.col("base")).cast("binary"), 256).alias("base_sha256"), _text_of(F.concat("base", "added")).alias("spans"))
+    return df.select("doc_id", *map(count, BASE), F.sha2(_text_of(F.col("base")).cast("binary"), 256).alias("base_sha256"), _text_of(F.concat("base", "added")).alias("spans"))
 
 
-def mask(docs: DataFrame, weights: dict[tuple[str, object], float]) -> DataFrame:
+def mask(docs: DataFrame, weights: dict[tuple[str, object], float] | None = None) -> DataFrame:
     """``docs``, all columns, with each span of ``find`` replaced by its kind in angle brackets.
 
+    Without ``weights`` the classifier is trained on these very texts; they are
+    then written with their spans, so that they are searched once only.
+
     Where spans of several kinds overlap, the earlier one is replaced whole and
     the rest of the later one after it. ``n_chars``, if there, follows the text.
     """
-    df = find(docs, weights)
+    found = marked(docs)
+    if weights is None:
+        found = Stash(docs.sparkSession).write(found, "marked")
+        weights = train(found)
+    df = find(found, weights)
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     kind = "array<struct<s:int,e:int,k:int>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
