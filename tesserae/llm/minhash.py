@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import Stash
-from tesserae.llm.shingles import WordHashes, min_hashes, shingle_set, similar
+from tesserae.llm.shingles import min_hashes, shingle_set, similar
 
 HASHES = 128
 BAND = 4
@@ -85,11 +85,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (shingles), c (digest of the set), sig (128 x uint16), bands (32 x long); the last three null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                sets = [shingle_set(t, width, cache) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
                 has = [i for i, s in enumerate(sets) if len(s)]
                 c, sig, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if has:
@@ -127,15 +126,14 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
     texts = stash.write(docs.join(F.broadcast(needed) if few else needed, "doc_id"), "texts").select("c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         hub: tuple[bytes, str, np.ndarray] = (b"", "", np.empty(0, np.uint64))
         for batch in batches:
             keep = []
             for row in range(batch.num_rows):
                 a, b, ta, tb = (batch.column(i)[row].as_py() for i in range(4))
                 if (b, tb) != hub[:2]:
-                    hub = (b, tb, shingle_set(tb, width, cache))
-                sa = shingle_set(ta, width, cache)
+                    hub = (b, tb, shingle_set(tb, width))
+                sa = shingle_set(ta, width)
                 # an id that occurs with several texts brings several rows: only the class's own text counts
                 if xxhash.xxh3_128_digest(sa.tobytes()) == a and xxhash.xxh3_128_digest(hub[2].tobytes()) == b and similar(sa, hub[2], percent):
                     keep.append(row)

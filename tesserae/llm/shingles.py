@@ -7,23 +7,15 @@ its one shingle; without words there is none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+CHUNK = 1 << 20  # bytes of text hashed at once
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; emptied when it grows large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of x over all bits."""
     x = (x ^ (x >> np.uint64(30))) * _A
@@ -31,27 +23,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words in order, as bytes."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def sequence(text: str | None, width: int, cache: WordHashes) -> np.ndarray:
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    space = np.zeros(256, bool)
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    value = mix(np.arange(1, 257, dtype=np.uint64) * _P)
+    value[ord("A") : ord("Z") + 1] = value[ord("a") : ord("z") + 1]
+    return space, value
+
+
+_SPACE, _VALUE = _tables()
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers 0 to n of _P and of its inverse modulo 2^64; made once for each worker, at most for a chunk."""
+    if len(_powers[0]) <= n:
+        for k, x in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 16) + 1, np.uint64(x), np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def _chunks(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """The bytes in stretches of about CHUNK that end at white space."""
+    at = 0
+    while len(raw) - at > CHUNK:
+        stops = np.flatnonzero(_SPACE[raw[at : at + CHUNK]])
+        end = at + CHUNK
+        if len(stops):
+            end = at + int(stops[-1]) + 1
+        else:
+            while end < len(raw) and not _SPACE[raw[end]]:
+                end += 1
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word in order, all in array operations.
+
+    A word's hash is the polynomial of its bytes' values in _P modulo 2^64,
+    as the difference of two prefix sums times an inverse power, then mixed
+    with its length.
+    """
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    out = []
+    for part in _chunks(raw):
+        powers, inverses = _power_tables(len(part))
+        edge = np.diff(_SPACE[part].astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * powers[: len(part)], out=sums[1:])
+        out.append(mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64) * _A))
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
+def sequence(text: str | None, width: int) -> np.ndarray:
     """Hashes of the shingles at each place, repeats included."""
-    w = words(text)
-    if not w:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
-    n = max(1, len(w) - width + 1)
-    out = np.full(n, np.uint64(min(width, len(w))), np.uint64)
-    for i in range(min(width, len(w))):
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    n = max(1, len(h) - width + 1)
+    out = np.full(n, np.uint64(min(width, len(h))), np.uint64)
+    for i in range(min(width, len(h))):
         out = out * _P + h[i : i + n]
     return mix(out)
 
 
-def shingle_set(text: str | None, width: int, cache: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    return np.unique(sequence(text, width, cache))
+    return np.unique(sequence(text, width))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
