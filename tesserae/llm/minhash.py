@@ -12,7 +12,8 @@
 5. Verified links make components. Buckets that still span several components
    and have members not yet compared with each other are compared in blocks of
    ``BLOCK`` signatures, across components only, with the same pruning; what
-   survives is verified as well. So no link between different texts is lost
+   survives is verified on full sets in its block, which gives spanning links
+   and never a list of all pairs. So no link between different texts is lost
    for want of a common hub.
 6. Components come by label propagation with shortcuts, on written tables.
 
@@ -45,6 +46,8 @@ BAND = 4
 BATCH = 16
 MISS = 1e-6
 BLOCK = 256
+#: Shingles of a block's side, about; bounds the memory of a task.
+BLOCK_SHINGLES = 1 << 21
 #: Class ids (16 bytes) and row ids that may be broadcast.
 FEW_IDS = 500_000
 MAX_ROUNDS = 60
@@ -97,7 +100,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     for row, i in enumerate(has):
                         c[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
                         sig[i] = short[row].tobytes()
-                        bands[i] = [xxhash.xxh3_64_intdigest(low[row, j : j + BAND].tobytes(), seed=j) - (1 << 63) for j in range(0, HASHES, BAND)]
+                        bands[i] = [xxhash.xxh3_64_intdigest(short[row, j : j + BAND].tobytes(), seed=j) - (1 << 63) for j in range(0, HASHES, BAND)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(c, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "c", "sig", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, n long, c binary, sig binary, bands array<long>")
@@ -164,33 +167,92 @@ def components(links: DataFrame, stash: Stash) -> DataFrame:
     return labels
 
 
-def across(open_members: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs (a, b) of different components within each bucket (key, n, c, comp, sig), block by block."""
-    cells = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("c", F.lit(5)), cells).cast("int")
-    placed = open_members.withColumn("cells", cells).withColumn("cell", mine)
+def _open_pairs(table: pa.Table, sig: np.ndarray, code: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left row of a block, the right rows to verify against it.
+
+    These are of another component, of a size that allows the threshold, share
+    no earlier band (else the bucket of that band has the pair) and survive.
+    """
+    cell, size, pos = (table.column(x).to_numpy() for x in ("cell", "n_shingles", "pos"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    bands = sig.view(np.uint64)  # four hashes of 16 bits: one band in one number
+    right = np.flatnonzero(cell == j)
+    for x in np.flatnonzero(cell == i).tolist():
+        others = right[right > x] if i == j else right
+        others = others[(code[others] != code[x]) & (np.minimum(size[others], size[x]) >= threshold * np.maximum(size[others], size[x]) - 1e-9)]
+        if len(others):
+            others = others[~(bands[others, : pos[x]] == bands[x, : pos[x]]).any(1)]
+        if len(others):
+            yield x, others[survives(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], threshold)]
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+    return sig, np.unique(np.array([x.hex() for x in table.column("comp").to_pylist()]), return_inverse=True)[1]
+
+
+def across(open_members: DataFrame, docs: DataFrame, width: int, percent: int, stash: Stash) -> DataFrame:
+    """Links (a, b) that join different components within each bucket; enough of them to span what is linked.
+
+    ``open_members`` has key, pos, n (members), weight (their shingles), c,
+    doc_id, n_shingles, comp and sig. Buckets are dealt in blocks of bounded
+    members and shingles. A first pass keeps the rows of a block with a
+    surviving pair, a few hundred at most; their full sets are joined, and a
+    second pass verifies pairs, skipping those already joined within the block,
+    so that neither pass gives more rows than it gets.
+    """
+    threshold = percent / 100
+    cells = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    placed = open_members.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("c", F.lit(5)), F.col("cells")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least(F.col("cell"), o).alias("i"), F.greatest(F.col("cell"), o).alias("j")))
-    dealt = placed.select("key", "c", "comp", "sig", "cell", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "c", "comp", "sig", "cell")
-
-    def run(table):
-        cell = table.column("cell").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-        c = np.array(table.column("c").to_pylist(), object)
-        comp = table.column("comp").to_pylist()
-        code = np.unique(np.array([x.hex() for x in comp]), return_inverse=True)[1]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(cell == i), np.flatnonzero(cell == j)
-        out_a, out_b = [], []
-        for x in left:
-            others = right[(code[right] != code[x]) & ((right > x) if i == j else True)]
+    dealt = placed.select("key", "pos", "c", "doc_id", "n_shingles", "comp", "sig", "cell", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "pos", "c", "doc_id", "n_shingles", "comp", "sig", "cell")
+
+    def alive(table: pa.Table) -> pa.Table:
+        sig, code = _arrays(table)
+        keep = np.zeros(len(code), bool)
+        for x, others in _open_pairs(table, sig, code, threshold):
             if len(others):
-                got = others[survives(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], threshold)]
-                out_a += [c[x]] * len(got)
-                out_b += [c[y] for y in got]
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+                keep[x] = True
+                keep[others] = True
+        return table.filter(pa.array(keep))
+
+    kind = "key long, i int, j int, pos int, c binary, doc_id long, n_shingles long, comp binary, sig binary, cell int"
+    left = stash.write(dealt.groupBy("key", "i", "j").applyInArrow(alive, kind), "alive")
+    needed = stash.write(left.select("c", "doc_id").distinct(), "needed")
+    few = needed.limit(FEW_IDS + 1).count() <= FEW_IDS
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                made = [shingle_set(t, width).tobytes() for t in part.column(1).to_pylist()]
+                # an id that occurs with several texts brings several rows: only the class's own text counts
+                mine = pa.array([xxhash.xxh3_128_digest(s) == c for s, c in zip(made, part.column(0).to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["c", "set"]).filter(mine)
+
+    own = docs.join(F.broadcast(needed) if few else needed, "doc_id").select("c", "text").mapInArrow(sets, "c binary, set binary").dropDuplicates(["c"])
+
+    def forest(table: pa.Table) -> pa.Table:
+        sig, code = _arrays(table)
+        members = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        c, top = table.column("c").to_pylist(), list(range(int(code.max()) + 1))
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        a, b = [], []
+        for x, others in _open_pairs(table, sig, code, threshold):
+            for y in others.tolist():
+                if find(code[x]) != find(code[y]) and similar(members[x], members[y], percent):
+                    top[find(code[x])] = find(code[y])
+                    a.append(max(c[x], c[y]))
+                    b.append(min(c[x], c[y]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    found = dealt.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return left.join(own, "c").groupBy("key", "i", "j").applyInArrow(forest, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -198,25 +260,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stash = Stash(docs.sparkSession)
     threshold = percent / 100
     base = stash.write(signatures(docs, width), "signatures")
-    classes = stash.write(base.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x")).select("c", "x.doc_id", "x.sig", "x.bands"), "classes")
-    banded = classes.select("c", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stash.write(banded.join(hubs, "key"), "members")
-    small = stash.write(classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "doc_id", "sig"), "banded")
+    classes = stash.write(base.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "n", "sig", "bands")).alias("x")).select("c", "x.doc_id", F.col("x.n").alias("n_shingles"), "x.sig", "x.bands"), "classes")
+    banded = classes.select("c", "n_shingles", F.posexplode("bands").alias("pos", "key"))
+    hubs = banded.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
+    members = stash.write(banded.drop("n_shingles").join(hubs, "key"), "members")
+    small = stash.write(classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "doc_id", "n_shingles", "sig"), "banded")
     stash.drop(classes)
     star = members.where("c != hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
     links = verify(prune(star, small, threshold), small, docs, width, percent, stash)
     labels = components(links, stash)
     # a bucket of two has been compared in full; others may hold pairs that no hub has joined
-    known = members.where("n > 2").join(labels, "c", "left").select("key", "n", "hub", "c", F.coalesce("comp", "c").alias("comp"))
+    known = members.where("n > 2").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     spans = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    open_members = known.join(spans, "key", "left_semi").where("c != hub").join(small.select("c", "sig"), "c")
-    more = stash.write(across(open_members, threshold), "across")
-    if not more.isEmpty():
-        rest = verify(more.join(star, ["a", "b"], "left_anti"), small, docs, width, percent, stash)
-        if not rest.isEmpty():
-            links = stash.write(links.union(rest), "all-links")
-            labels = components(links, stash)
+    open_members = known.join(spans, "key", "left_semi").where("c != hub").join(small, "c")
+    rest = stash.write(across(open_members, docs, width, percent, stash), "across")
+    if not rest.isEmpty():
+        links = stash.write(links.union(rest), "all-links")
+        labels = components(links, stash)
     stash.drop(members)
     # the least doc_id over a component, and each row's component by its class
     first = base.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
