@@ -15,7 +15,8 @@
    survives is verified on full sets in its block, which gives spanning links
    and never a list of all pairs. So no link between different texts is lost
    for want of a common hub.
-6. Components come by label propagation with shortcuts, on written tables.
+6. Components come by hooking trees onto smaller labels, with shortcuts, on
+   written tables, until no label moves.
 
 Texts move only for pairs that survive pruning, and signatures only for classes
 in a bucket with others.
@@ -150,21 +151,31 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
 
 
 def components(links: DataFrame, stash: Stash) -> DataFrame:
-    """c and comp (least c of its component) of every class in a link."""
+    """c and comp (least c of its component) of every class in a link.
+
+    Each round, a class and its parent take the least grandparent label among
+    the class's neighbours, so whole trees hook onto smaller ones, and labels
+    are cut short by one step; rounds grow with the logarithm of the length of
+    a chain. Labels only fall, and none moves once all are right.
+    """
     both = stash.write(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "edges")
     labels = stash.write(both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("comp")), "labels")
     for _ in range(MAX_ROUNDS):
-        near = both.join(labels.select(F.col("c").alias("b"), F.col("comp").alias("l")), "b").groupBy(F.col("a").alias("c")).agg(F.min("l").alias("l"))
-        step = labels.join(near, "c").select("c", "comp", F.least("comp", "l").alias("l"))
-        up = labels.select(F.col("c").alias("l"), F.col("comp").alias("top"))
-        new = stash.write(step.join(up, "l").select("c", F.least("l", "top").alias("comp"), (F.least("l", "top") < F.col("comp")).alias("moved")), "labels")
+        up = labels.select(F.col("c").alias("comp"), F.col("comp").alias("top"))
+        tops = stash.write(labels.join(up, "comp").select("c", "comp", "top"), "tops")
+        near = both.join(tops.select(F.col("c").alias("b"), F.col("top").alias("l")), "b").groupBy(F.col("a").alias("c")).agg(F.min("l").alias("l"))
+        step = stash.write(tops.join(near, "c"), "step")
+        hooked = step.groupBy(F.col("comp").alias("c")).agg(F.min("l").alias("h"))
+        least = F.least("top", "l", "h")  # skips nulls
+        new = stash.write(step.join(hooked, "c", "left").select("c", least.alias("comp"), (least < F.col("comp")).alias("moved")), "labels")
         more = not new.where("moved").isEmpty()
-        stash.drop(labels)
+        for x in (tops, step, labels):
+            stash.drop(x)
         labels = new.select("c", "comp")
         labels.stash_path = new.stash_path
         if not more:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components: labels still move after {MAX_ROUNDS} rounds")
 
 
 def _open_pairs(table: pa.Table, sig: np.ndarray, code: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:

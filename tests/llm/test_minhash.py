@@ -93,3 +93,12 @@ def test_words(monkeypatch):
     whole = [h(t) for t in odd]
     monkeypatch.setattr(shingles, "CHUNK", 64)
     assert all((h(t) == w).all() for t, w in zip(odd, whole, strict=True))
+
+
+def test_long_chain(spark):
+    """Two chains of 1500 links each, names in random order: one component each, whatever the diameter."""
+    name = [bytes(x) for x in np.random.default_rng(8).integers(0, 256, (3002, 16), np.uint8)]
+    chains = name[:1501], name[1501:]
+    links = spark.createDataFrame([(max(x), min(x)) for c in chains for x in zip(c, c[1:])], "a binary, b binary")
+    got = {bytes(r["c"]): bytes(r["comp"]) for r in minhash.components(links, minhash.Stash(spark)).collect()}
+    assert got == {x: min(c) for c in chains for x in c}
