@@ -8,6 +8,7 @@ their names, are ignored, since inputs are first projected to the columns used.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -71,6 +72,11 @@ class Stash:
             self.paths.discard(path)
             _delete(self.spark, path)
 
+    def free(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more; else they stay until the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         """Remove what is left; a session that has ended already is no error here."""
         try:
