@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def jackson(n: int) -> np.ndarray:
@@ -52,21 +54,74 @@ def bessel(n: int, x: float) -> np.ndarray:
     return np.array([np.cos(j * t - x * np.sin(t)).mean() for j in range(n)])
 
 
+def chebyshev_values(n: int, x: Column) -> list[Column]:
+    """T_0(x) .. T_{n-1}(x) for x in [-1, 1]."""
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x)))
+    return [F.cos(angle * float(j)) for j in range(n)]
+
+
 MASK = (1 << 64) - 1
+#: Fixed values of the counter hash: the step and two multipliers of splitmix64, and one multiplier each for block, row and column.
+STEP, MUL_1, MUL_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+KEY_BLOCK, KEY_ROW, KEY_COL = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93
 
 
 def splitmix64(x: np.ndarray) -> np.ndarray:
     """Next value of the generator for each state (uint64)."""
-    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = x.astype(np.uint64) + np.uint64(STEP)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MUL_1)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MUL_2)
     return x ^ (x >> np.uint64(31))
 
 
+def entry_hash(seed: int, b: np.ndarray, r: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Hash of (seed, block, row, column), so any partitioning draws the same."""
+    with np.errstate(over="ignore"):
+        h = splitmix64(np.full(len(b), (seed + STEP) & MASK, np.uint64))
+        for part, key in ((b, KEY_BLOCK), (r, KEY_ROW), (col, KEY_COL)):
+            h = splitmix64(h ^ (part.astype(np.uint64) * np.uint64(key)))
+    return h
+
+
+def uniform01(h: np.ndarray) -> np.ndarray:
+    """In [0, 1), from the upper 53 bits."""
+    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def normal_from(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Box-Muller from two hashes."""
+    return np.sqrt(-2 * np.log(np.maximum(uniform01(h1), 1e-300))) * np.cos(2 * np.pi * uniform01(h2))
+
+
 def rademacher(seed: int, b: np.ndarray, r: np.ndarray, col: np.ndarray) -> np.ndarray:
-    """+1 or -1 by (seed, block, row, column) alone, so any partitioning draws the same."""
+    """+1 or -1 by the hash's upper bit."""
+    return np.where(entry_hash(seed, b, r, col) >> np.uint64(63) == 1, 1.0, -1.0)
+
+
+def draw(kind: str, seed: int, b: np.ndarray, r: np.ndarray, col: np.ndarray, complex_: bool) -> np.ndarray:
+    """Entries of a random vector by name alone: "rademacher", "phase" (complex only) or "gaussian" of unit variance."""
+    if kind == "rademacher":
+        return rademacher(seed, b, r, col).astype(complex if complex_ else float)
+    h = entry_hash(seed, b, r, col)
+    if kind == "phase":
+        if not complex_:
+            raise ValueError("random phases need a complex vector")
+        return np.exp(2j * np.pi * uniform01(h))
+    if kind != "gaussian":
+        raise ValueError(f"unknown kind {kind}")
     with np.errstate(over="ignore"):
-        h = splitmix64(np.full(len(b), seed & MASK, np.uint64))
-        for part in (b, r, col):
-            h = splitmix64(h ^ part.astype(np.uint64))
-    return np.where(h >> np.uint64(63) == 1, 1.0, -1.0)
+        h2 = splitmix64(h)
+        return (normal_from(h, h2) + 1j * normal_from(h2, splitmix64(h2))) / np.sqrt(2) if complex_ else normal_from(h, h2)
+
+
+def random_values(kind: str, seed: int, complex_: bool):
+    """``draw`` as a vectorised function of columns (block, row, column), with fields v and w."""
+    if kind == "phase" and not complex_:
+        raise ValueError("random phases need a complex vector")
+
+    @pandas_udf("v double, w double")
+    def values(b: pd.Series, r: pd.Series, col: pd.Series) -> pd.DataFrame:
+        x = draw(kind, seed, b.to_numpy(), r.to_numpy(), col.to_numpy(), complex_)
+        return pd.DataFrame({"v": np.real(x), "w": np.imag(x)})
+
+    return values

@@ -122,15 +122,30 @@ def insert(a: DataFrame, sub: DataFrame, ids: DataFrame) -> DataFrame:
     return x.select(*PLACE, *[F.coalesce(f"_{c}", c).alias(c) for c in ("v", "w") if c in a.columns])
 
 
-def assemble(log: DataFrame, pattern: DataFrame | None = None) -> DataFrame:
-    """A log (seq, bi, bj, r, c, v, mode) replayed: the last INSERT of a block, if any, and the ADDs after it.
+def assemble(log: DataFrame, pattern: DataFrame | None = None, keys: tuple[str, ...] = ("bi", "bj")) -> DataFrame:
+    """A log (seq, *keys, r, c, v, mode) replayed: the last INSERT of a block, if any, and the ADDs after it.
 
-    Blocks outside ``pattern`` (bi, bj), if that is given, are dropped.
+    Blocks outside ``pattern`` (keys), if that is given, are dropped.
     """
-    last = log.groupBy("bi", "bj").agg(F.max(F.when(F.col("mode") == "INSERT", F.col("seq"))).alias("_last"))
-    x = log.join(last, ["bi", "bj"]).where(F.col("_last").isNull() | (F.col("seq") >= F.col("_last")))
-    out = x.groupBy(*PLACE).agg(*value(log).sums())
-    return out if pattern is None else out.join(pattern, ["bi", "bj"], "left_semi")
+    last = log.groupBy(*keys).agg(F.max(F.when(F.col("mode") == "INSERT", F.col("seq"))).alias("_last"))
+    x = log.join(last, list(keys)).where(F.col("_last").isNull() | (F.col("seq") >= F.col("_last")))
+    out = x.groupBy(*keys, "r", "c").agg(*value(log).sums())
+    return out if pattern is None else out.join(pattern, list(keys), "left_semi")
+
+
+def extract_batched(a: DataFrame, batches: DataFrame) -> DataFrame:
+    """Many submatrices at once: entries with ``batch``, renumbered by (batch, old, new)."""
+    row = batches.select("batch", F.col("old").alias("bi"), F.col("new").alias("_i"))
+    col = batches.select("batch", F.col("old").alias("bj"), F.col("new").alias("_j"))
+    x = a.join(row, "bi").join(col, ["batch", "bj"])
+    return x.select("batch", F.col("_i").alias("bi"), F.col("_j").alias("bj"), *[c for c in a.columns if c not in ("bi", "bj")])
+
+
+def redistribute(a: DataFrame, places: DataFrame, mode: str = "INSERT") -> DataFrame:
+    """``a`` on exactly ``places`` (its key columns), zeros where it has nothing; equal places are summed if ``mode`` is ADD."""
+    keys, values = places.columns, [c for c in ("v", "w") if c in a.columns]
+    x = a.groupBy(*keys).agg(*value(a).sums()) if mode == "ADD" else a.select(*keys, *values)
+    return places.join(x, keys, "left").select(*keys, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in values))
 
 
 def expand(a: DataFrame, dims: DataFrame) -> DataFrame:

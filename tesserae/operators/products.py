@@ -8,11 +8,11 @@ the number of blocks in A's row, and result blocks of norm under eps are dropped
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.elementwise import block_norms, filter_blocks, hermitize_diagonal_blocks, scale, transpose
-from tesserae.schema import PLACE, Cx, same_kind, value
+from tesserae.operators.elementwise import block_norms, filter_blocks, hermitize_diagonal_blocks, redistribute, scale, transpose
+from tesserae.schema import PLACE, Cx, constant, is_complex, same_kind, value
 
 
 def _side(a: DataFrame, p: str) -> DataFrame:
@@ -41,28 +41,54 @@ def spmv(a: DataFrame, x: DataFrame, adjoint: bool = False) -> DataFrame:
     return a.join(xs, list(inner)).groupBy(F.col(outer[0]).alias("b"), F.col(outer[1]).alias("r"), *extra).agg(*(av * xv).sums())
 
 
-def _pairs(a: DataFrame, b: DataFrame, eps: float) -> DataFrame:
-    """Block triples (bi, bk, bj) whose norms allow them to count."""
-    na = block_norms(a).select("bi", F.col("bj").alias("bk"), F.col("norm").alias("_na"))
-    rows = na.groupBy("bi").agg(F.count(F.lit(1)).alias("_n"))
-    nb = block_norms(b).select(F.col("bi").alias("bk"), "bj", F.col("norm").alias("_nb"))
-    keep = F.col("_na") * F.col("_nb") >= F.lit(float(eps)) / F.greatest(F.lit(1), F.col("_n"))
-    return na.join(rows, "bi").join(nb, "bk").where(keep).select("bi", "bk", "bj")
+def _norms(a: DataFrame, row: str, col: str, norm: str, n: str) -> DataFrame:
+    """Block norms with the number of blocks in the row."""
+    x = block_norms(a).select(F.col("bi").alias(row), F.col("bj").alias(col), F.col("norm").alias(norm))
+    return x.join(x.groupBy(row).agg(F.count(F.lit(1)).alias(n)), row)
+
+
+def _need(eps: float) -> Column:
+    return F.lit(float(eps)) / F.greatest(F.lit(1), F.col("_n"))
+
+
+def symbolic(a: DataFrame, b: DataFrame, eps: float = 0.0, upper: bool = False) -> DataFrame:
+    """bi, bj and bound (sum of products of norms) of the blocks of A B that can exceed eps, from block norms alone."""
+    x = _norms(a, "bi", "bk", "_na", "_n").join(_norms(b, "bk", "bj", "_nb", "_m"), "bk").where(F.col("_na") * F.col("_nb") >= _need(eps))
+    x = x.where("bj >= bi") if upper else x
+    return x.groupBy("bi", "bj").agg(F.sum(F.col("_na") * F.col("_nb")).alias("bound")).where(F.col("bound") > eps)
+
+
+def _multiply(left: DataFrame, right: DataFrame, keep: Column | None = None, upper: bool = False) -> DataFrame:
+    """Sums over the inner index of pairs that ``keep`` holds for; the test is part of the join, so what it drops is never made.
+
+    Columns beside places and values serve ``keep`` and must have different names.
+    """
+    extra = lambda d: [c for c in d.columns if c not in (*PLACE, "v", "w")]
+    x = left.select("bi", F.col("bj").alias("bk"), "r", F.col("c").alias("k"), *extra(left), *[F.col(c).alias(f"a_{c}") for c in ("v", "w") if c in left.columns])
+    y = right.select(F.col("bi").alias("_bk"), "bj", F.col("r").alias("_k"), "c", *extra(right), *[F.col(c).alias(f"b_{c}") for c in ("v", "w") if c in right.columns])
+    on = (F.col("bk") == F.col("_bk")) & (F.col("k") == F.col("_k"))
+    on = on & keep if keep is not None else on
+    on = on & (F.col("bj") >= F.col("bi")) if upper else on
+    return x.join(y, on).groupBy(*PLACE).agg(*(value(left, "a_") * value(right, "b_")).sums())
 
 
 def spgemm(a: DataFrame, b: DataFrame, eps: float = 0.0, trans_a: bool = False, trans_b: bool = False, upper: bool = False, final: bool = True) -> DataFrame:
-    """op(A) op(B) with thresholds; only block columns bj >= bi if ``upper``."""
+    """op(A) op(B) with thresholds; only block columns bj >= bi if ``upper``.
+
+    With a threshold, norms go first: blocks that meet no partner are left out
+    before values are joined, and pairs are tested within that join.
+    """
     same_kind(a, b)
     a = transpose(a) if trans_a else a
     b = transpose(b) if trans_b else b
-    left = a.select("bi", F.col("bj").alias("bk"), "r", F.col("c").alias("k"), *[F.col(c).alias(f"a_{c}") for c in ("v", "w") if c in a.columns])
-    right = b.select(F.col("bi").alias("bk"), "bj", F.col("r").alias("k"), "c", *[F.col(c).alias(f"b_{c}") for c in ("v", "w") if c in b.columns])
-    joined = left.join(right, ["bk", "k"])
-    if upper:
-        joined = joined.where("bj >= bi")
-    if eps > 0:
-        joined = joined.join(_pairs(a, b, eps), ["bi", "bk", "bj"], "left_semi")
-    out = joined.groupBy(*PLACE).agg(*(value(a, "a_") * value(b, "b_")).sums())
+    if eps <= 0:
+        return _multiply(a, b, upper=upper)
+    na, nb = _norms(a, "bi", "bj", "_na", "_n"), block_norms(b).select("bi", "bj", F.col("norm").alias("_nb"))
+    best_b = nb.groupBy(F.col("bi").alias("bj")).agg(F.max("_nb").alias("_best"))
+    some_a = na.join(best_b, "bj").where(F.col("_na") * F.col("_best") >= _need(eps)).drop("_best")
+    best_a = na.groupBy(F.col("bj").alias("bi")).agg(F.max(F.col("_na") / _need(eps)).alias("_best"))
+    some_b = nb.join(best_a, "bi").where(F.col("_nb") * F.col("_best") >= 0.999999).drop("_best")  # rounding can't lose a pair
+    out = _multiply(a.join(some_a, ["bi", "bj"]), b.join(some_b, ["bi", "bj"]), F.col("_na") * F.col("_nb") >= _need(eps), upper)
     return filter_blocks(out, eps) if final else out
 
 
@@ -82,14 +108,41 @@ def square_polynomial_upper(a: DataFrame, identity: DataFrame, c2: float, c1: fl
     return filter_blocks(parts.groupBy(*PLACE).agg(*value(a).sums()), eps)
 
 
+def _triple(left: DataFrame, b: DataFrame, right: DataFrame, eps: float) -> DataFrame:
+    """Upper blocks of L B R with half the threshold as the error budget of each step and one truncation at the end.
+
+    First step: a pair of blocks goes if the product of norms is under eps / (2 n m
+    max |R|), n and m being the blocks in the rows of L and B, so that all that
+    can reach one result adds up to eps / 2 at most. Second step: the summed
+    bounds of a block of L B times the norm in R against eps / (2 t), t being the
+    blocks in that row of L B.
+    """
+    if eps <= 0:
+        return _multiply(_multiply(left, b), right, upper=True)
+    one = F.lit(1)
+    nr = block_norms(right).select("bi", "bj", F.col("norm").alias("_nr"))
+    top = nr.agg(F.max("_nr").alias("_top")).withColumn("_one", one)
+    nl = _norms(left, "bi", "bj", "_na", "_n").withColumn("_one", one).join(F.broadcast(top), "_one").drop("_one")  # one row
+    nb = _norms(b, "bi", "bj", "_nb", "_m")
+    enough = F.col("_na") * F.col("_nb") >= F.lit(float(eps)) / (2.0 * F.greatest(one, F.col("_n")) * F.col("_m") * F.col("_top"))
+    inner = _multiply(left.join(nl, ["bi", "bj"]), b.join(nb, ["bi", "bj"]), enough)
+    pairs = nl.withColumnRenamed("bj", "bk").join(nb.select(F.col("bi").alias("bk"), "bj", "_nb", "_m"), "bk").where(enough)
+    bound = pairs.groupBy("bi", "bj").agg(F.sum(F.col("_na") * F.col("_nb")).alias("_bound"))
+    bound = bound.join(bound.groupBy("bi").agg(F.count(one).alias("_t")), "bi")
+    out = _multiply(inner.join(bound, ["bi", "bj"]), right.join(nr, ["bi", "bj"]), F.col("_bound") * F.col("_nr") >= F.lit(float(eps)) / (2.0 * F.col("_t")), upper=True)
+    return filter_blocks(out, eps)
+
+
 def rarh_upper(a: DataFrame, b: DataFrame, eps: float = 0.0) -> DataFrame:
-    """Upper blocks of A B A^H; truncated once at the end."""
-    return filter_blocks(spgemm(spgemm(a, b, final=False), a, trans_b=True, upper=True, final=False), eps)
+    """Upper blocks of A B A^H, with error budgets; see ``_triple``."""
+    same_kind(a, b)
+    return _triple(a, b, transpose(a), eps)
 
 
 def rhar_upper(a: DataFrame, b: DataFrame, eps: float = 0.0) -> DataFrame:
-    """Upper blocks of A^H B A; truncated once at the end."""
-    return filter_blocks(spgemm(spgemm(a, b, trans_a=True, final=False), a, upper=True, final=False), eps)
+    """Upper blocks of A^H B A, with error budgets; see ``_triple``."""
+    same_kind(a, b)
+    return _triple(transpose(a), b, a, eps)
 
 
 def dot(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -101,11 +154,17 @@ def dot(x: DataFrame, y: DataFrame) -> DataFrame:
     return joined.groupBy("col").agg(*sums) if "col" in keys else joined.agg(*sums)
 
 
-def vector_axpby(alpha: float, x: DataFrame, beta: float, y: DataFrame) -> DataFrame:
+def vector_axpby(alpha: complex, x: DataFrame, beta: complex, y: DataFrame) -> DataFrame:
     """alpha x + beta y over the union of places."""
     keys = [c for c in ("b", "r", "col") if c in x.columns]
-    scaled = lambda s, d: d.select(*keys, *(Cx(F.lit(float(s))) * value(d)).columns())
-    return scaled(alpha, x).unionByName(scaled(beta, y)).groupBy(*keys).agg(*value(x).sums())
+    both = is_complex(x) or is_complex(y) or isinstance(alpha, complex) or isinstance(beta, complex)
+
+    def scaled(s: complex, d: DataFrame) -> DataFrame:
+        out = constant(s) * value(d)
+        return d.select(*keys, *Cx(out.re, out.im if out.im is not None or not both else F.lit(0.0)).columns())
+
+    parts = scaled(alpha, x).unionByName(scaled(beta, y))
+    return parts.groupBy(*keys).agg(*value(parts).sums())
 
 
 def pointwise(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -116,6 +175,14 @@ def pointwise(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.join(other, keys).select(*places, *(value(x) * value(y, "y_")).columns())
 
 
+def khop(a: DataFrame, k: int) -> DataFrame:
+    """A on the pattern of A^k: A's values where it has them, stored zeros elsewhere, for blocks whose rows and columns A knows."""
+    sizes = a.select(F.col("bi").alias("b"), F.col("r").alias("p")).union(a.select("bj", "c")).groupBy("b").agg((F.max("p") + 1).alias("n"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    places = khop_pattern(a, k).join(sizes.select(F.col("b").alias("bi"), F.col("n").alias("_r")), "bi").join(sizes.select(F.col("b").alias("bj"), F.col("n").alias("_c")), "bj")
+    return redistribute(a, places.withColumn("r", upto("_r")).withColumn("c", upto("_c")).select(*PLACE))
+
+
 def khop_pattern(a: DataFrame, k: int) -> DataFrame:
     """Block pattern of A^k."""
     base = a.select("bi", "bj").distinct()

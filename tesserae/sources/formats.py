@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import PurePosixPath
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +29,24 @@ def matrix_market(entries: DataFrame, n: int) -> DataFrame:
     return head.unionByName(body)
 
 
+def write_matrix_market(entries: DataFrame, n: int, path: str) -> None:
+    """Text files in the folder ``path`` that, in the order of their names, are one Matrix Market file: the head, then entries by row and column."""
+    matrix_market(entries, n).orderBy("i", "j").select("line").write.mode("overwrite").text(path)
+
+
 def from_csr(spark: SparkSession, ptr: np.ndarray, col: np.ndarray, data: np.ndarray) -> DataFrame:
-    """1 x 1 blocks from CSR arrays, which must fit together."""
-    ptr, col = np.asarray(ptr), np.asarray(col)
-    if ptr[0] != 0 or (np.diff(ptr) < 0).any() or ptr[-1] != len(col) or len(col) != len(data):
+    """Entries of CSR arrays of scalars, or of blocks (n, s, t); the arrays must fit together."""
+    ptr, col, x = np.asarray(ptr, np.int64), np.asarray(col, np.int64), np.asarray(data)
+    if ptr[0] != 0 or (np.diff(ptr) < 0).any() or ptr[-1] != len(col) or len(col) != len(x):
         raise ValueError("row pointers, columns and data don't fit together")
+    x = x.reshape(len(x), 1, 1) if x.ndim == 1 else x
+    h, w = x.shape[1:]
     rows = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    values = np.asarray(data)
-    cx = np.iscomplexobj(values)
-    out = [(int(i), int(j), 0, 0, float(x.real), *([float(x.imag)] if cx else [])) for i, j, x in zip(rows, col, values, strict=True)]
-    return spark.createDataFrame(out, "bi long, bj long, r int, c int, v double" + (", w double" if cx else ""))
+    r, c = np.divmod(np.arange(h * w, dtype=np.int32), w) if h * w else (np.empty(0, np.int32),) * 2
+    cols = {"bi": np.repeat(rows, h * w), "bj": np.repeat(col, h * w), "r": np.tile(r, len(x)).astype(np.int32), "c": np.tile(c, len(x)).astype(np.int32), "v": np.ascontiguousarray(x.real, np.float64).ravel()}
+    if np.iscomplexobj(x):
+        cols["w"] = np.ascontiguousarray(x.imag, np.float64).ravel()
+    return spark.createDataFrame(pa.table(cols))
 
 
 def to_dense(entries: DataFrame, n: int, limit: int = 4096) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cooccurrence(spark: SparkSession, sf_dir: str, flag: str | None = None, by: str = "l_partkey", keys: int | None = None) -> DataFrame:
-    """A_ij = sum over orders of q_i q_j, as a matrix of 1 x 1 blocks."""
-    x = read(spark, sf_dir, "lineitem")
-    x = x.where(F.col("l_returnflag") == flag) if flag else x
-    x = x.select("l_orderkey", F.col(by).alias("k"), F.col("l_quantity").alias("q"))
-    x = x.where(F.col("k") < keys) if keys else x
+def cooccurrence(spark: SparkSession, sf_dir: str, by: str = "l_partkey", q: str = "l_quantity") -> DataFrame:
+    """A_ij = sum over orders of q_i q_j for the keys that ``by`` (SQL) gives the order's lines, as a matrix of 1 x 1 blocks."""
+    x = read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(by).alias("k"), F.expr(q).cast("double").alias("q"))
     y = x.select("l_orderkey", F.col("k").alias("j"), F.col("q").alias("p"))
     out = x.join(y, "l_orderkey").groupBy(F.col("k").alias("bi"), F.col("j").alias("bj")).agg(F.sum(F.col("q") * F.col("p")).alias("v"))
     return out.select("bi", "bj", F.lit(0).alias("r"), F.lit(0).alias("c"), "v")
@@ -69,6 +68,71 @@ def truss_beam_dims(spark: SparkSession, nx: int, ny: int) -> DataFrame:
     return spark.range(nx * ny).select(F.col("id").alias("b"), F.when(F.col("id") % nx < nx // 2, 3).otherwise(6).alias("n"))
 
 
+def truss_beam(spark: SparkSession, nx: int, ny: int, nz: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Sizes and entries of a grid of nodes: 3 degrees of freedom below half the height, 6 above; 100 I on the diagonal, values in (-1, 0] to the six neighbours."""
+    i = F.col("id")
+    x, y, z = i % nx, F.floor(i / nx) % ny, F.floor(i / (nx * ny))
+    dof = lambda layer: F.when(layer < nz // 2, 3).otherwise(6)
+    dims = spark.range(nx * ny * nz).select(i.alias("b"), dof(z).alias("n"))
+    step = lambda ok, by: F.when(ok, F.struct((i + by).alias("b"), dof(z + by // (nx * ny) if abs(by) >= nx * ny else z).alias("n")))
+    near = F.array(F.struct(i.alias("b"), dof(z).alias("n")), step(x > 0, -1), step(x < nx - 1, 1), step(y > 0, -nx), step(y < ny - 1, nx), step(z > 0, -nx * ny), step(z < nz - 1, nx * ny))
+    pairs = spark.range(nx * ny * nz).select(i.alias("bi"), dof(z).alias("n"), F.explode(F.filter(near, lambda q: q.isNotNull())).alias("q"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    at = pairs.select("bi", F.col("q.b").alias("bj"), "n", F.col("q.n").alias("m")).withColumn("r", upto(F.col("n"))).withColumn("c", upto(F.col("m")))
+    v = F.when(F.col("bi") != F.col("bj"), -uniform(*PLACE, seed=seed)).when(F.col("r") == F.col("c"), 100.0).otherwise(0.0)
+    return dims, at.select(*PLACE, v.alias("v"))
+
+
+def uniform(*cols: str | Column, seed: int = 1) -> Column:
+    """In [0, 1) from a hash of the columns."""
+    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+
+
+def normal(*cols: str | Column, seed: int = 1) -> Column:
+    """Standard normal from two hashes of the columns."""
+    return F.sqrt(-2 * F.log(F.greatest(uniform(*cols, seed=2 * seed), F.lit(1e-300)))) * F.cos(2 * F.pi() * uniform(*cols, seed=2 * seed + 1))
+
+
+def _filled(pairs: DataFrame, dims: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Every scalar place of block pairs (bi, bj, *keep)."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = pairs.join(dims.select(F.col("b").alias("bi"), F.col("n").alias("_r")), "bi").join(dims.select(F.col("b").alias("bj"), F.col("n").alias("_c")), "bj")
+    return x.withColumn("r", upto("_r")).withColumn("c", upto("_c")).select(*PLACE, "_r", "_c", *(keep or []))
+
+
+def random_blocks(spark: SparkSession, n: int, size_min: int, size_max: int, density: float, seed: int = 42, complex_: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sizes (b, n) from ``size_min`` to ``size_max``, and entries on self, ring and int(n density) - 2 hashed neighbours a row; values in [0, 1)."""
+    i = F.col("id")
+    dims = spark.range(n).select(i.alias("b"), (size_min + F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(size_max - size_min + 1))).cast("int").alias("n"))
+    pairs = random_matrix(spark, n, max(0, int(n * density) - 2), seed).select("bi", "bj")
+    values = [uniform(*PLACE, seed=seed + k).alias(c) for k, c in enumerate(("v", "w")[: 1 + complex_])]
+    return dims, _filled(pairs, dims).select(*PLACE, *values)
+
+
+def lattice_cutoff(degree: int, spacing: float = 1.0) -> float:
+    """Distance of the degree-th nearest site (itself counted) of a cubic lattice."""
+    n = math.ceil(degree ** (1 / 3)) + 1
+    d2 = sorted(x * x + y * y + z * z for x in range(-n, n + 1) for y in range(-n, n + 1) for z in range(-n, n + 1))
+    return spacing * math.sqrt(d2[max(2, degree) - 1]) * 1.000001
+
+
+def geometric_matrix(spark: SparkSession, shape: tuple[int, int, int], degree: int = 12, sizes: tuple[int, ...] = (9, 13, 15, 20), decay: float = 1.0, jitter: float = 0.1, offdiagonal: float = 0.2, diagonal: float = 2.0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Sizes and entries of a jittered periodic lattice: blocks within the cutoff that gives the degree, sizes drawn from ``sizes``, normal values that fall off with distance."""
+    from tesserae.operators.atomic import neighbours
+
+    n, i = math.prod(shape), F.col("id")
+    grid = [i % shape[0], F.floor(i / shape[0]) % shape[1], F.floor(i / (shape[0] * shape[1]))]
+    atoms = spark.range(n).select(i.alias("gid"), *((g + jitter * (2 * uniform(i, F.lit(d), seed=seed) - 1)).alias(x) for d, (g, x) in enumerate(zip(grid, ("x", "y", "zc"), strict=True))))
+    cell = [[float(shape[a]) if a == b else 0.0 for b in range(3)] for a in range(3)]
+    near = neighbours(atoms, lattice_cutoff(degree), cell).groupBy(F.col("src").alias("bi"), F.col("dst").alias("bj")).agg(F.min("d2").alias("d2"))
+    pairs = near.where("bi != bj").union(spark.range(n).select(i, i, F.lit(0.0)))
+    dims = spark.range(n).select(i.alias("b"), F.get(F.array(*map(F.lit, sizes)), F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(len(sizes))).cast("int")).alias("n"))
+    on = F.col("bi") == F.col("bj")
+    size = F.when(on, 1.0).otherwise(offdiagonal * F.exp(-F.sqrt("d2") / decay)) / F.sqrt(F.col("_r") * F.col("_c"))
+    v = normal(*PLACE, seed=seed) * size + F.when(on & (F.col("r") == F.col("c")), diagonal + 0.01 * (F.col("bi") % 17)).otherwise(0.0)
+    return dims, _filled(pairs, dims, ["d2"]).select(*PLACE, v.alias("v"))
+
+
 def random_matrix(spark: SparkSession, n: int, degree: int, seed: int = 1) -> DataFrame:
     """Self, ring neighbours and ``degree`` hashed neighbours a row; values in [0, 1) from a hash of the place."""
     i = F.col("id")
