@@ -80,6 +80,15 @@ def word_hashes(text: str | None) -> np.ndarray:
     return out[0] if len(out) == 1 else np.concatenate(out)
 
 
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the words in code points."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    edge = np.diff(_SPACE[raw].astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+    point = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=point[1:])
+    return point[np.flatnonzero(edge == -1)], point[np.flatnonzero(edge == 1)]
+
+
 def sequence(text: str | None, width: int) -> np.ndarray:
     """Hashes of the shingles at each place, repeats included."""
     h = word_hashes(text)
