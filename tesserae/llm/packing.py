@@ -10,9 +10,12 @@ f(j) the least cost up to place j, f(j) = min over i of f(i) + capacity -
 last ``capacity`` tokens, so each place costs constant time. Windows whose length
 is a power of two need no padding and are tried as well, by direct look-up.
 
-The stream is solved in blocks of ``BLOCK`` tokens; what follows the last
-settled window goes on into the next block, so memory does not grow with the
-input. Only a task's last window may be short.
+The stream is solved in blocks of ``BLOCK`` tokens or more. Whatever comes later,
+the best way goes through some place of a block's last ``capacity`` tokens; where
+the best ways to all of these meet, the windows before are settled, and what
+follows goes on into the next block. So the result is the optimum of the whole
+stream, whatever the block, and memory does not grow with the input. Only a
+task's last window may be short.
 
 Edge cases: null or empty text is one token (the end id); a document longer
 than a window spans several; repeated rows are packed as often as they occur;
@@ -34,26 +37,21 @@ from tesserae.llm.bpe import default_vocabulary, load
 CAPACITY = 1024
 END_ID = 0
 HARD = 32
-NEAR = 8
 BLOCK = 1 << 19
 SENTENCE_PENALTY = 1.0
 HARD_PENALTY = 4.0
 WINDOW_COST = 24.0
 
 
-def places(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, hard: int = HARD, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+def places(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, hard: int = HARD) -> tuple[np.ndarray, np.ndarray]:
     """Places for cuts (tokens before them) with their penalties; 0 and the end are among them."""
     n = len(ids)
     kind = np.full(n + 1, 255, np.uint8)
-    ends = np.flatnonzero(sentence[ids]) + 1
-    if len(ends):
-        cell = ends // near
-        kind[ends[np.flatnonzero(np.diff(cell, append=-1))]] = 1  # the last of each cell of near tokens
+    kind[np.flatnonzero(sentence[ids]) + 1] = 1
     kind[doc_ends] = 0
     kind[0] = kind[n] = 0
     at = np.flatnonzero(kind < 255)
-    gaps = np.flatnonzero(np.diff(at) > hard)
-    for g in gaps:
+    for g in np.flatnonzero(np.diff(at) > hard):
         kind[at[g] + hard : at[g + 1] : hard] = 2
     at = np.flatnonzero(kind < 255)
     return at, np.array([0.0, SENTENCE_PENALTY, HARD_PENALTY])[kind[at]]
@@ -88,12 +86,15 @@ def solve(at: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY) -> tupl
 
 
 def windows(at: np.ndarray, penalty: np.ndarray, capacity: int, last: bool) -> list[int]:
-    """Ends of the windows; unless ``last``, only those before the final stretch, which the next block takes over."""
-    cost, back = solve(at, penalty, capacity)
+    """Ends of the windows; unless ``last``, those before the place where the best ways to all of the last ``capacity`` tokens' places meet."""
+    _, back = solve(at, penalty, capacity)
     j = len(at) - 1
     if not last:
-        tail = np.searchsorted(at, at[-1] - capacity)
-        j = int(tail) + int(np.argmin(np.array(cost[tail:]) + (at[-1] - at[tail:])))
+        open_ = {*range(int(np.searchsorted(at, at[-1] - capacity, "right")), len(at))}
+        while len(open_) > 1:
+            open_.add(back[max(open_)])
+            open_.remove(max(open_))
+        j = open_.pop()
     out = []
     while j > 0:
         out.append(int(at[j]))
@@ -104,10 +105,10 @@ def windows(at: np.ndarray, penalty: np.ndarray, capacity: int, last: bool) -> l
 def pack_stream(docs: Iterator[tuple[int | None, np.ndarray]], sentence: np.ndarray, capacity: int = CAPACITY, block: int = BLOCK) -> Iterator[tuple]:
     """Pieces (doc_id, start, ids, doc_tokens, sequence, offset) of a stream of (doc_id, ids)."""
     held: list[tuple] = []  # (doc_id, ids not yet packed, start, doc_tokens)
-    size, sequence = 0, 0
+    size, sequence, enough = 0, 0, block
 
     def flush(last: bool) -> Iterator[tuple]:
-        nonlocal held, size, sequence
+        nonlocal held, size, sequence, enough
         if not held:
             return
         ids = np.concatenate([h[1] for h in held])
@@ -130,11 +131,12 @@ def pack_stream(docs: Iterator[tuple[int | None, np.ndarray]], sentence: np.ndar
             doc, tokens, start, total = rest[0]
             rest[0] = (doc, tokens[used:], start + used, total)
         held, size = rest, size - begin
+        enough = max(block, 2 * size)  # where nothing has met yet, a longer stretch is solved next
 
     for doc, ids in docs:
         held.append((doc, ids, 0, len(ids)))
         size += len(ids)
-        if size >= block:
+        if size >= enough:
             yield from flush(False)
     while held:
         yield from flush(True)

@@ -49,3 +49,30 @@ def test_query(spark):
             assert r["doc_tokens"] == len(want) and r["ids_crc32"] == zlib.crc32(want[r["start"] : r["start"] + r["length"]].tobytes())
     assert sum(r["length"] for r in rows) == sum(len(tok.encode(t or "")) + 1 for _, t in texts)
     assert packing.op4(spark, df.limit(0)).count() == 0
+
+
+def cost(lengths, ends, kinds, capacity):
+    total, at = 0.0, 0
+    for n in lengths:
+        at += n
+        total += (0 if n & (n - 1) == 0 and 128 <= n else capacity - n) + packing.WINDOW_COST + {0: 0.0, 1: packing.SENTENCE_PENALTY, 2: packing.HARD_PENALTY}[kinds[at]]
+    return total
+
+
+@pytest.mark.parametrize("block", [300, 1500, 1 << 19])
+def test_blocks_give_the_optimum_of_the_whole_stream(block):
+    """Whatever the block, the windows cost what the best ones over all document and sentence ends of the stream cost."""
+    rng = np.random.default_rng(12)
+    docs = [(i, np.append(rng.integers(1, 50000, n), 0).astype(np.uint32)) for i, n in enumerate(rng.integers(0, 400, 60))]
+    sentence = rng.random(50258) < 0.08
+    ids = np.concatenate([d[1] for d in docs])
+    ends = np.cumsum([len(d[1]) for d in docs])
+    at, pen = packing.places(ids, ends, sentence)
+    best = [0.0]
+    for j in range(1, len(at)):
+        best.append(min(best[i] + pen[j] + packing.WINDOW_COST + (0 if (n := int(at[j] - at[i])) & (n - 1) == 0 and 128 <= n else 256 - n) for i in range(j) if at[j] - at[i] <= 256))
+    lengths = {}
+    for _, _, piece, _, seq, _ in packing.pack_stream(iter(docs), sentence, 256, block):
+        lengths[seq] = lengths.get(seq, 0) + len(piece)
+    kinds = dict(zip(at.tolist(), [{0.0: 0, packing.SENTENCE_PENALTY: 1, packing.HARD_PENALTY: 2}[x] for x in pen.tolist()], strict=True))
+    assert np.isclose(cost([lengths[k] for k in sorted(lengths)], ends, kinds, 256), best[-1])
