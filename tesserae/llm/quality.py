@@ -8,7 +8,8 @@ character classes, repetition of words and lines, lengths) and the table's
 length metadata as a bucket.
 
 The model is fitted on the driver to at most ``MAX_TRAIN`` labelled rows (those
-of least hash), a documented bound on the fit only; every row is scored.
+of least hash, and of an id that occurs with several texts one of them), a
+documented bound on the fit only; every row is scored.
 
 Edge cases: null or empty text has structure features only and still gets a
 score; null labels are no labels; without any label each score is 0.5; repeated
@@ -157,8 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_tr
             got = [features(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([i.astype("<u2").tobytes() for i, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())], ["doc_id", "y", "i", "v"])
 
-    # the bound on rows bounds what comes to the driver: about a kilobyte or two each
-    got = picked.mapInArrow(run, "doc_id long, y double, i binary, v binary").toArrow().sort_by([("doc_id", "ascending"), ("i", "ascending")])
+    # one row of each id, however often it occurs, so the bound on ids bounds what comes to the driver: a kilobyte or two each
+    made = picked.mapInArrow(run, "doc_id long, y double, i binary, v binary").groupBy("doc_id").agg(F.min(F.struct("i", "v", "y")).alias("x")).select("doc_id", "x.y", "x.i", "x.v")
+    got = made.toArrow().sort_by([("doc_id", "ascending")])
     rows = [(np.frombuffer(i.as_py(), "<u2").astype(np.int64), np.frombuffer(v.as_py(), "<f4").astype(np.float64)) for i, v in zip(got.column("i"), got.column("v"), strict=True)]
     return fit(rows, got.column("y").to_numpy())
 

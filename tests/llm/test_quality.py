@@ -39,3 +39,19 @@ def test_odd_inputs(spark):
     assert quality.op8(docs.limit(0), some).count() == 0
     kept = quality.keep_good(docs, quality.fit([], np.empty(0)))
     assert kept.schema == docs.schema and kept.count() == 5
+
+
+def test_one_id_many_times(spark):
+    """An id that a hundred thousand rows have brings one row to the fit."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    quality.fit = lambda rows, y, **k: (seen.append(len(rows)), fit(rows, y, **k))[1]
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.fit = fit
+    assert seen == [1]
