@@ -10,13 +10,15 @@ distance to the leaf's centre. The search takes the page with the best bound
 next. |d(q, parent) - d(parent, child)| - radius bounds a page, and
 |d(q, leaf) - d(leaf, row)| a row, before any distance to it is computed.
 
-Queries come in blocks of bounded size, each broadcast to all trees; a bounded
-sample of rows gives each query a first threshold. Pages are left out only if
+Queries come in blocks of bounded size, one after the other: a block is broadcast
+to all trees, its best rows are written, and it is let go before the next, so
+neither the driver's memory nor a plan grows with the queries. A bounded sample
+of rows gives each query a first threshold. Pages are left out only if
 their bound is under the tenth score so far by more than rounding can be, so
 results are exact, ties included. Only a task's best k of each query move.
 
-Edge cases: vectors that are null or hold null or non-finite components take no
-part; shorter vectors count as padded with zeros; fewer than k other rows give
+Edge cases: vectors that are null or hold null or non-finite components, or such
+as are 2^53 or more once multiplied, take no part; shorter vectors count as padded with zeros; fewer than k other rows give
 fewer results; equal scores go to the smaller id; repeated ids count as one row
 (the one whose vector is largest in order); extra columns are ignored.
 """
@@ -49,7 +51,7 @@ def _int_rows(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     for row, x in enumerate(lists.to_pylist()):
         if x is not None and None not in x:
             v = np.array(x, np.float64)
-            if np.isfinite(v).all():
+            if np.isfinite(v).all() and (np.abs(v) < 2.0**53 / SCALE).all():
                 keep.append(row)
                 out.append(np.floor(SCALE * v).astype(np.int64))
     return np.array(keep, np.int64), out
@@ -286,6 +288,9 @@ def top_k(spark: SparkSession, df: DataFrame, every: int = 100, k: int = 10, id_
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in s.best()], ["query_id", "vec_id", "score"])
 
         mine = trees.mapInArrow(search, "query_id long, vec_id long, score long")
+        if blocks > 1:
+            mine = stash.write(mine, "found")
+            held.destroy()
         found = mine if found is None else found.unionByName(mine)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -38,3 +38,13 @@ def test_bounds_save_products():
     ids = s.best()[1]
     score = x @ x[0]
     assert ids.tolist() == sorted(range(1, len(x)), key=lambda j: (-score[j], j))[:10] and s.computed < len(x) / 2
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    """Several blocks give what one gives; huge components take no part."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(400, 4)))] + [(500, [1e300] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = {tuple(r) for r in mtree.top_k(spark, df, every=10).collect()}
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 15)
+    assert {tuple(r) for r in mtree.top_k(spark, df, every=10).collect()} == one and len(one) == 400
