@@ -5,8 +5,8 @@ ones (secrets, local telephone numbers, social security and bank account
 numbers). Labelers vote +1, -1 or 0 on each span: format and checksum rules,
 gazetteers (top-level domains, card prefixes, key prefixes), words before it,
 its neighbours and its variety of characters. Expectation maximisation
-estimates each labeler's reliability from the counts of vote patterns (at most
-3^8 per kind, so these counts may come to the driver), and its posteriors
+estimates each labeler's reliability for each kind from the counts of vote
+patterns (at most 3^8 per kind, so these counts may come to the driver), and its posteriors
 train a logistic span classifier over votes, kind and length, again from
 counts. The classifier then judges every loose span; base spans always stay.
 
@@ -46,7 +46,12 @@ KINDS = [*BASE, *LOOSE]
 #: A cheap test that a text can hold a kind at all.
 _GATE = {"email": ("@", None), "phone": ("+", None), "ip": (None, r"[0-9]\.[0-9]"), "card": (None, r"[0-9]"), "secret": (None, r"[A-Za-z0-9_/+-]{24}"), "local": (None, r"[0-9][.\x20-][0-9]{4}"), "ssn": (None, r"[0-9]-[0-9]{2}-[0-9]"), "iban": (None, r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]")}
 N_VOTES = 8
-_TLD = "com|org|net|edu|gov|io|info|de|fr|es|uk|eu|co|us|mil|int|dev|app"
+FEW_SPANS = 50
+#: Gazetteers: top-level domains in wide use, issuers' card prefixes, prefixes of access keys, countries of account numbers.
+_TLD = "com|org|net|edu|gov|mil|int|info|biz|name|pro|museum|io|dev|app|ai|co|me|tv|cc|xyz|online|site|store|tech|cloud|example|test|at|au|be|bg|br|ca|ch|cl|cn|cz|de|dk|ee|es|eu|fi|fr|gr|hk|hr|hu|id|ie|il|in|is|it|jp|kr|lt|lu|lv|mx|my|nl|no|nz|pe|ph|pl|pt|ro|rs|ru|sa|se|sg|si|sk|th|tr|tw|ua|uk|us|uy|vn|za"
+_ISSUER = "4[0-9]|5[1-5]|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720|3[47]|3[0689]|35[2-8][0-9]|6011|64[4-9]|65|62"
+_KEY = "AKIA|ASIA|AIza|ya29|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|sk_test_|pk_live_|rk_live_|xox[abprs]-|eyJ|SG|hf_|npm_|pypi-|dop_v1_|shpat_|EAAC"
+_COUNTRY = "AD|AE|AL|AT|AZ|BA|BE|BG|BH|BR|BY|CH|CR|CY|CZ|DE|DK|DO|EE|EG|ES|FI|FO|FR|GB|GE|GI|GL|GR|GT|HR|HU|IE|IL|IQ|IS|IT|JO|KW|KZ|LB|LC|LI|LT|LU|LV|MC|MD|ME|MK|MR|MT|MU|NL|NO|PK|PL|PS|PT|QA|RO|RS|SA|SC|SE|SI|SK|SM|ST|SV|TL|TN|TR|UA|VA|VG|XK"
 _CUES = "e-?mail|mail|contact|call|tel|phone|mobile|fax|card|visa|credit|account|iban|bank|ip|server|host|address|token|key|secret|password|passwd|pwd|api|auth|ssn|social"
 _COUNTER = "version|section|chapter|figure|isbn|order|page|item|build|release|volume|sha|commit|hash"
 _BLOCK = 128
@@ -147,10 +152,15 @@ def _votes(text: Column, x: Column, before: Column) -> Column:
     after = F.substring(text, x["e"] + 1, F.lit(2))
     variety = F.size(F.array_distinct(F.split(m, "")))
     mixed = (nd > 0) & m.rlike("[A-Za-z]")
+    # remainder of an account number by 97, its first four characters last and letters as two digits
+    plain = F.regexp_replace(m, r"\x20", "")
+    value = lambda q: F.when(q.rlike("[A-Z]"), F.ascii(q) - 55).otherwise(F.ascii(q) - 48)
+    moved = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), "")
+    rest = F.when(is_("iban"), F.aggregate(moved, F.lit(0), lambda a, q: F.when(q == "", a).otherwise(F.pmod(a * F.when(q.rlike("[A-Z]"), 100).otherwise(10) + value(q), F.lit(97)))))
     labelers = [
         _sign(is_(*BASE), F.lit(False)),  # strict format
-        _sign(is_("card") & F.call_function("luhn_check", d) | is_("secret") & mixed & (nd * 8 >= n) | is_("ssn") & ~m.rlike("^(000|666|9)|-00-|-0000$") | is_("local") & ~m.rlike(r"^\(?[01]"), is_("secret") & ~mixed | is_("ssn") & m.rlike("^(000|666|9)|-00-|-0000$") | is_("local") & m.rlike(r"^\(?[01]")),  # checksum and structure
-        _sign(is_("email") & m.rlike(rf"(?i)\.({_TLD})$") | is_("card") & m.rlike("^[3-6]") | is_("secret") & m.rlike("^(AKIA|ghp_|sk-|xox|AIza|eyJ)") | is_("iban") & m.rlike("^(DE|FR|ES|IT|NL|GB|BE|AT|CH|PL|SE|IE|PT)"), is_("secret") & m.rlike("^(https?|www)|/.*/")),  # gazetteers
+        _sign(is_("card") & F.call_function("luhn_check", d) | is_("iban") & (rest == 1) | is_("secret") & mixed & (nd * 8 >= n) | is_("ssn") & ~m.rlike("^(000|666|9)|-00-|-0000$") | is_("local") & ~m.rlike(r"^\(?[01]"), is_("secret") & ~mixed | is_("iban") & (rest != 1) | is_("ssn") & m.rlike("^(000|666|9)|-00-|-0000$") | is_("local") & m.rlike(r"^\(?[01]")),  # checksum and structure
+        _sign(is_("email") & m.rlike(rf"(?i)\.({_TLD})$") | is_("card") & d.rlike(f"^({_ISSUER})") | is_("secret") & m.rlike(f"^({_KEY})") | is_("iban") & m.rlike(f"^({_COUNTRY})"), is_("secret") & m.rlike("^(https?|www)|/.*/")),  # gazetteers
         _sign(before.rlike(rf"\b({_CUES})\b\W*$") | before.rlike(rf"\b({_CUES})\b.{{0,20}}$"), F.lit(False)),  # cues before it
         _sign(F.lit(False), before.rlike(rf"\b({_COUNTER})\b\W*$")),  # counter-cues before it
         _sign(is_("secret") & n.between(32, 64) | is_("card") & (nd >= 15) | is_("phone") & (nd >= 10), is_("secret") & (n > 100)),  # length
@@ -206,6 +216,21 @@ def estimate(patterns: list[tuple[str, float]], rounds: int = 30) -> tuple[list[
     return post, chances
 
 
+def posteriors(rows: list[tuple[int, str, int, float]]) -> list[float]:
+    """The posterior of each (kind, votes, bucket, count), reliabilities estimated for each kind by itself; kinds of under ``FEW_SPANS`` spans share theirs."""
+    total: dict[int, float] = {}
+    for k, _, _, n in rows:
+        total[k] = total.get(k, 0.0) + n
+    groups: dict[int, list[int]] = {}
+    for i, (k, *_rest) in enumerate(rows):
+        groups.setdefault(k if total[k] >= FEW_SPANS else -1, []).append(i)
+    out = [0.0] * len(rows)
+    for members in groups.values():
+        for i, p in zip(members, estimate([(rows[i][1], rows[i][3]) for i in members])[0], strict=True):
+            out[i] = p
+    return out
+
+
 def _names(k: int, v: str, b: int) -> list[tuple[str, object]]:
     return [("k", k), ("b", b), *((f"v{j}", v[j]) for j in range(N_VOTES))]
 
@@ -215,7 +240,7 @@ def classifier(rows: list[tuple[int, str, int, float]], rounds: int = 400, rate:
     weights: dict[tuple[str, object], float] = {("", ""): 0.0}
     if not rows:
         return weights
-    post, _ = estimate([(v, n) for _, v, _, n in rows])
+    post = posteriors(rows)
     # the square root of counts, so that one frequent pattern doesn't drown the others
     data = [([("", ""), *_names(k, v, b)], p, math.sqrt(n)) for (k, v, b, n), p in zip(rows, post, strict=True)]
     total = sum(n for *_, n in data)
