@@ -61,6 +61,22 @@ def _chunks(raw: np.ndarray) -> Iterator[np.ndarray]:
     yield raw[at:]
 
 
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the words in bytes."""
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = _SPACE[raw]
+    change = np.flatnonzero(space[1:] != space[:-1])  # into a word and out of it by turns
+    return change[::2], change[1::2]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash of each word in order, all in array operations.
 
@@ -72,8 +88,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     out = []
     for part in _chunks(raw):
         powers, inverses = _power_tables(len(part))
-        edge = np.diff(_SPACE[part].astype(np.int8), prepend=np.int8(1), append=np.int8(1))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        start, end = _words(part)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_VALUE[part] * powers[: len(part)], out=sums[1:])
         out.append(mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64) * _A))
@@ -83,10 +98,10 @@ def word_hashes(text: str | None) -> np.ndarray:
 def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the words in code points."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    edge = np.diff(_SPACE[raw].astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+    start, end = _words(raw)
     point = np.zeros(len(raw) + 1, np.int64)
     np.cumsum((raw & 0xC0) != 0x80, out=point[1:])
-    return point[np.flatnonzero(edge == -1)], point[np.flatnonzero(edge == 1)]
+    return point[start], point[end]
 
 
 def sequence(text: str | None, width: int) -> np.ndarray:
@@ -103,7 +118,7 @@ def sequence(text: str | None, width: int) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    return np.unique(sequence(text, width))
+    return distinct(sequence(text, width))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
