@@ -9,12 +9,14 @@
 4. Comparison is sequential: after each batch of 16 min-hashes with m matches in
    n, a pair is dropped once the posterior P(J >= 0.8 | m, n) under a uniform
    prior is below ``MISS``. Survivors are verified on their full shingle sets.
-5. Verified links make components. Buckets that still span several components
-   and have members not yet compared with each other are compared in blocks of
-   ``BLOCK`` signatures, across components only, with the same pruning; what
-   survives is verified on full sets in its block, which gives spanning links
-   and never a list of all pairs. So no link between different texts is lost
-   for want of a common hub.
+5. Verified links make components. In buckets that still span several, members
+   of other components than the largest are compared with all the others, in
+   blocks of ``BLOCK`` signatures, across components only, with the same pruning;
+   what survives is verified on full sets in its block, which gives spanning
+   links and never a list of all pairs. The largest component's members are not
+   dealt against each other, so a great group of copies with few strangers costs
+   what the strangers cost. So no link between different texts is lost for want
+   of a common hub.
 6. Components come by hooking trees onto smaller labels, with shortcuts, on
    written tables, until no label moves.
 
@@ -23,8 +25,10 @@ in a bucket with others.
 
 Edge cases: null and empty texts have no shingles and stay alone; fewer words
 than a shingle make one shingle; repeated rows are members of one class; ids
-that occur with several texts are told apart by the set's digest; extra columns
-are ignored.
+that occur with several texts are told apart by the set's digest; rows without
+an id link others and get the least id of their component, null if none has
+any; an empty table gives an empty result; ties go to the smaller digest; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import Stash
@@ -50,7 +54,7 @@ BLOCK = 256
 #: Shingles of a block's side, about; bounds the memory of a task.
 BLOCK_SHINGLES = 1 << 21
 #: Class ids (16 bytes) and row ids that may be broadcast.
-FEW_IDS = 500_000
+FEW_IDS = 200_000
 MAX_ROUNDS = 60
 
 
@@ -86,7 +90,7 @@ def survives(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (shingles), c (digest of the set), sig (128 x uint16), bands (32 x long); the last three null without shingles."""
+    """doc_id, h (hash of id and text), n (shingles), c (digest of the set), sig (128 x uint16), bands (32 x long); the last three null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +106,14 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                         c[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
                         sig[i] = short[row].tobytes()
                         bands[i] = [xxhash.xxh3_64_intdigest(short[row, j : j + BAND].tobytes(), seed=j) - (1 << 63) for j in range(0, HASHES, BAND)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(c, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "c", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(c, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "n", "c", "sig", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, c binary, sig binary, bands array<long>")
+    return docs.select("doc_id", "text", row_hash()).mapInArrow(run, "doc_id long, h long, n long, c binary, sig binary, bands array<long>")
+
+
+def row_hash() -> Column:
+    """``h``: what a class's text is looked up by. Texts of equal hash are told apart by their sets' digests."""
+    return F.xxhash64("doc_id", "text").alias("h")
 
 
 def prune(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -124,10 +133,11 @@ def prune(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, stash: Stash) -> DataFrame:
     """Pairs (a, b) that are similar on their full sets; texts come from the classes' first documents."""
     pairs = stash.write(pairs, "survivors")
-    needed = stash.write(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "doc_id"), "c"), "needed")
-    # a short list of ids is broadcast, so that only the texts it names are moved
+    needed = stash.write(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "h"), "c"), "needed")
+    # a short list of rows is broadcast, so that only the texts it names are moved
     few = needed.limit(FEW_IDS + 1).count() <= FEW_IDS
-    texts = stash.write(docs.join(F.broadcast(needed) if few else needed, "doc_id"), "texts").select("c", "text")
+    kept = stash.write(docs.select(row_hash(), "text").join(F.broadcast(needed) if few else needed, "h").dropDuplicates(["c", "text"]), "texts")
+    texts = kept.select("c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub: tuple[bytes, str, np.ndarray] = (b"", "", np.empty(0, np.uint64))
@@ -138,7 +148,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
                 if (b, tb) != hub[:2]:
                     hub = (b, tb, shingle_set(tb, width))
                 sa = shingle_set(ta, width)
-                # an id that occurs with several texts brings several rows: only the class's own text counts
+                # rows of equal hash bring several texts: only the class's own counts
                 if xxhash.xxh3_128_digest(sa.tobytes()) == a and xxhash.xxh3_128_digest(hub[2].tobytes()) == b and similar(sa, hub[2], percent):
                     keep.append(row)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["a", "b"])
@@ -146,7 +156,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
     text = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"t_{x}"))
     joined = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
     out = stash.write(joined.mapInArrow(run, "a binary, b binary").distinct(), "links")
-    stash.drop(texts)
+    stash.drop(kept)
     return out
 
 
@@ -205,18 +215,25 @@ def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def across(open_members: DataFrame, docs: DataFrame, width: int, percent: int, stash: Stash) -> DataFrame:
     """Links (a, b) that join different components within each bucket; enough of them to span what is linked.
 
-    ``open_members`` has key, pos, n (members), weight (their shingles), c,
-    doc_id, n_shingles, comp and sig. Buckets are dealt in blocks of bounded
-    members and shingles. A first pass keeps the rows of a block with a
-    surviving pair, a few hundred at most; their full sets are joined, and a
-    second pass verifies pairs, skipping those already joined within the block,
-    so that neither pass gives more rows than it gets.
+    ``open_members`` has key, pos, top (the bucket's largest component), c, h,
+    n_shingles, comp and sig. Buckets are dealt in blocks of bounded members and
+    shingles: cells below ``others`` hold members of other components than the
+    largest and meet each other and all the rest; the largest's cells meet only
+    those. A first pass keeps the rows of a block with a surviving pair, a few
+    hundred at most; their full sets are joined, and a second pass verifies
+    pairs, skipping those already joined within the block, so that neither pass
+    gives more rows than it gets.
     """
     threshold = percent / 100
-    cells = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    placed = open_members.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("c", F.lit(5)), F.col("cells")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least(F.col("cell"), o).alias("i"), F.greatest(F.col("cell"), o).alias("j")))
-    dealt = placed.select("key", "pos", "c", "doc_id", "n_shingles", "comp", "sig", "cell", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "pos", "c", "doc_id", "n_shingles", "comp", "sig", "cell")
+    main = F.col("comp") == F.col("top")
+    cells = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = open_members.groupBy("key", main.alias("main")).agg(cells.alias("cells"))
+    sizes = sizes.groupBy("key").agg(F.max(F.when(F.col("main"), F.col("cells"))).alias("mains"), F.max(F.when(~F.col("main"), F.col("cells"))).alias("others"))
+    cell = lambda n: F.pmod(F.xxhash64("c", F.lit(5)), n).cast("int")
+    placed = open_members.join(sizes, "key").withColumn("cell", F.when(main, F.col("others") + cell(F.col("mains"))).otherwise(cell(F.col("others"))))
+    last = F.when(main, F.col("others") - 1).otherwise(F.col("others") + F.coalesce("mains", F.lit(0)) - 1)
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(F.col("cell"), o).alias("i"), F.greatest(F.col("cell"), o).alias("j")))
+    dealt = placed.select("key", "pos", "c", "h", "n_shingles", "comp", "sig", "cell", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "pos", "c", "h", "n_shingles", "comp", "sig", "cell")
 
     def alive(table: pa.Table) -> pa.Table:
         sig, code = _arrays(table)
@@ -227,9 +244,9 @@ def across(open_members: DataFrame, docs: DataFrame, width: int, percent: int, s
                 keep[others] = True
         return table.filter(pa.array(keep))
 
-    kind = "key long, i int, j int, pos int, c binary, doc_id long, n_shingles long, comp binary, sig binary, cell int"
+    kind = "key long, i int, j int, pos int, c binary, h long, n_shingles long, comp binary, sig binary, cell int"
     left = stash.write(dealt.groupBy("key", "i", "j").applyInArrow(alive, kind), "alive")
-    needed = stash.write(left.select("c", "doc_id").distinct(), "needed")
+    needed = stash.write(left.select("c", "h").distinct(), "needed")
     few = needed.limit(FEW_IDS + 1).count() <= FEW_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +254,11 @@ def across(open_members: DataFrame, docs: DataFrame, width: int, percent: int, s
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 made = [shingle_set(t, width).tobytes() for t in part.column(1).to_pylist()]
-                # an id that occurs with several texts brings several rows: only the class's own text counts
+                # rows of equal hash bring several texts: only the class's own counts
                 mine = pa.array([xxhash.xxh3_128_digest(s) == c for s, c in zip(made, part.column(0).to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["c", "set"]).filter(mine)
 
-    own = docs.join(F.broadcast(needed) if few else needed, "doc_id").select("c", "text").mapInArrow(sets, "c binary, set binary").dropDuplicates(["c"])
+    own = docs.select(row_hash(), "text").join(F.broadcast(needed) if few else needed, "h").select("c", "text").mapInArrow(sets, "c binary, set binary").dropDuplicates(["c"])
 
     def forest(table: pa.Table) -> pa.Table:
         sig, code = _arrays(table)
@@ -266,34 +283,66 @@ def across(open_members: DataFrame, docs: DataFrame, width: int, percent: int, s
     return left.join(own, "c").groupBy("key", "i", "j").applyInArrow(forest, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id of the component) of every row of ``docs`` (doc_id, text)."""
-    stash = Stash(docs.sparkSession)
+def _components(docs: DataFrame, width: int, percent: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, n, c) of ``docs``, and c and comp of every class in a link."""
     threshold = percent / 100
     base = stash.write(signatures(docs, width), "signatures")
-    classes = stash.write(base.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "n", "sig", "bands")).alias("x")).select("c", "x.doc_id", F.col("x.n").alias("n_shingles"), "x.sig", "x.bands"), "classes")
+    # rows without an id come last
+    x = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "n", "sig", "bands")
+    classes = stash.write(base.where("c is not null").groupBy("c").agg(F.min(x).alias("x")).select("c", "x.h", F.col("x.n").alias("n_shingles"), "x.sig", "x.bands"), "classes")
     banded = classes.select("c", "n_shingles", F.posexplode("bands").alias("pos", "key"))
-    hubs = banded.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
+    hubs = banded.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stash.write(banded.drop("n_shingles").join(hubs, "key"), "members")
-    small = stash.write(classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "doc_id", "n_shingles", "sig"), "banded")
+    small = stash.write(classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "h", "n_shingles", "sig"), "banded")
     stash.drop(classes)
     star = members.where("c != hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
     links = verify(prune(star, small, threshold), small, docs, width, percent, stash)
     labels = components(links, stash)
     # a bucket of two has been compared in full; others may hold pairs that no hub has joined
     known = members.where("n > 2").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    spans = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    open_members = known.join(spans, "key", "left_semi").where("c != hub").join(small, "c")
+    sizes = known.where("c != hub").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    spans = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "top")
+    open_members = stash.write(known.where("c != hub").join(spans, "key").join(small, "c").select("key", "pos", "top", "c", "h", "n_shingles", "comp", "sig"), "open")
     rest = stash.write(across(open_members, docs, width, percent, stash), "across")
+    stash.drop(open_members)
     if not rest.isEmpty():
         links = stash.write(links.union(rest), "all-links")
         labels = components(links, stash)
     stash.drop(members)
+    stash.drop(small)
+    stash.free()
+    return base.select("doc_id", "h", "n", "c"), labels
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id of the component) of every row of ``docs`` (doc_id, text)."""
+    base, labels = _components(docs, width, percent, Stash(docs.sparkSession))
     # the least doc_id over a component, and each row's component by its class
     first = base.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     low = first.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_class = first.join(low, "comp").select("c", "component_id")
-    return base.select("doc_id", "n", "c").join(by_class, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return base.join(by_class, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of the least (doc_id, hash of the text), ids before none.
+
+    Rows are told apart by id and text, so other texts under the same id, and
+    rows without an id, stay unless they are near duplicates themselves; rows
+    equal in both are one. Texts without words are in no component and all stay.
+    """
+    stash = Stash(docs.sparkSession)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base, labels = _components(src, width, percent, stash)
+    rows = base.where("c is not null").groupBy("h", "c").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    rows = stash.write(rows, "rows")
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("x")).select("comp", F.col("x.h").alias("best"))
+    # what isn't kept, and what is kept but occurs more than once
+    odd = stash.write(rows.join(best, "comp").where("h != best or n > 1").select(F.col("h").alias("_h"), (F.col("h") == F.col("best")).alias("_again")), "dropped")
+    few = odd.limit(FEW_IDS + 1).count() <= FEW_IDS
+    marked = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))).join(F.broadcast(odd) if few else odd, F.col("_key") == F.col("_h"), "left")
+    once = marked.where("_again").dropDuplicates(["_key"])
+    return marked.where("_again is null").unionByName(once).select(*docs.columns)
 
 
 def op5(docs: DataFrame) -> DataFrame:

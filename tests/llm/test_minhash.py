@@ -102,3 +102,44 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(max(x), min(x)) for c in chains for x in zip(c, c[1:])], "a binary, b binary")
     got = {bytes(r["c"]): bytes(r["comp"]) for r in minhash.components(links, minhash.Stash(spark)).collect()}
     assert got == {x: min(c) for c in chains for x in c}
+
+
+def test_one_of_each_stays(spark):
+    """Other texts under one id, rows without an id and rows without words stay; copies and repeated rows go."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, 7), (1, b, 7), (None, c, 7), (2, a + " more", 7), (None, b, 8), (3, None, 9), (3, None, 9), (4, "", 9), (5, c.replace("c1 ", "x "), 1), (5, c.replace("c1 ", "x "), 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, c long")
+    got = sorted(minhash.keep_one(df).collect(), key=str)
+    assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, [(1, a, 7), (1, b, 7), (3, None, 9), (3, None, 9), (4, "", 9), (5, c.replace("c1 ", "x "), 1)]))
+    assert minhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_links_of_rows_without_id(spark):
+    """A class whose rows have no id still links others."""
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[i : i + 200]) for i in range(0, 60, 10)]
+    df = spark.createDataFrame([(i if i != 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["component_id"] for r in minhash.op5(df).collect()} == {0}
+
+
+def test_against_sql(spark, sf):
+    """The registered SQL gives the same components on the smallest table."""
+    import duckdb
+
+    from tesserae.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = {tuple(r) for r in con.execute(queries.ORACLE["op5_minhash"]).fetchall()}
+    assert {tuple(r) for r in queries.op5_minhash(spark, sf).collect()} == want and len(want) == 200
+
+
+def test_clashing_columns_and_long_texts(spark):
+    from tesserae.llm.common import documents
+
+    long = " ".join(f"w{i}" for i in range(100_000))
+    rows = [(1, long, "a", 1, 2), (2, long + " x", "b", 1, 2), (3, "short one here now", "c", 1, 2), (3, "short one here now", "c", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, comp string, h long, key long")
+    got = sorted(tuple(r) for r in minhash.op5(documents(df)).collect())
+    assert got == [(1, 99_997, 1, True), (2, 99_998, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
+    assert minhash.keep_one(df).columns == df.columns and {r["doc_id"] for r in minhash.keep_one(df).collect()} == {1, 3}
