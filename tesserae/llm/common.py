@@ -11,6 +11,8 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,14 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset on a local master, as in tests, a temporary one."""
     sc = spark.sparkContext
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -46,14 +50,17 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Stash:
     """Intermediate tables, written as Parquet in the shared folder so that any executor can be lost.
 
-    A table is removed by ``drop`` once nothing reads it any more, or when the
-    driver's process ends.
+    A table is removed by ``drop`` once nothing reads it any more, by ``closing``
+    or when the driver's process ends.
     """
 
+    opened: list[Stash] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tesserae-{uuid.uuid4().hex}"
         self.paths: set[str] = set()
+        Stash.opened.append(self)
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -85,3 +92,13 @@ class Stash:
         except Exception:  # noqa: BLE001  the JVM may be gone at exit
             pass
         self.paths.clear()
+
+
+@contextmanager
+def closing() -> Iterator[None]:
+    """Removes the tables of every stash that was opened within, once what they were for has been written elsewhere."""
+    n = len(Stash.opened)
+    yield
+    for stash in Stash.opened[n:]:
+        stash.close()
+    del Stash.opened[n:]

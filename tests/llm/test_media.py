@@ -62,3 +62,4 @@ def test_query(spark, sf, tmp_path):
     assert back[1]["dhash"] is None and back[3]["dhash"] is None and back[2]["samples"] == bytes(4)
     bmp = media.text_media(spark.createDataFrame(rows, "doc_id long, text string"), fmt="bmp")
     assert bmp.where(F.octet_length("payload") % 64 != 0).count() == 0
+    assert media.text_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
