@@ -31,3 +31,28 @@ def test_decisions_take_effect(spark, sf, tmp_path):
     empty = df.limit(0)
     for name in ("near_dedup", "substring_dedup", "pii", "packing", "quality"):
         assert stages[name](spark, empty, sf).count() == 0
+
+
+def test_repeated_and_null_ids(spark, sf):
+    """No stage loses or mixes rows for the sake of their ids; clashing columns stay."""
+    words = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(1, words("a", 80), 1, 2), (1, words("b", 80), 1, 2), (None, words("c", 80), 1, 2), (None, None, 1, 2), (2, words("d", 40) + " " + words("a", 60), 1, 2), (3, words("long", 50_000), 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h long, comp long")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("near_dedup", "substring_dedup", "pii"):
+        got = stages[name](spark, df, sf)
+        assert got.columns == df.columns and got.count() == len(rows), name
+    cut = {(r["doc_id"], len((r["text"] or "").split())) for r in stages["substring_dedup"](spark, df, sf).collect()}
+    assert cut == {(1, 80), (None, 80), (None, 0), (2, 40), (3, 50_000)}
+    assert stages["packing"](spark, df, sf).where("start = 0").count() == len(rows)
+
+
+def test_run_leaves_only_its_last_input(spark, sf):
+    """All stages in turn give what they give one by one, and their tables are gone."""
+    import os
+
+    root = common.shared_dir(spark).removeprefix("file:")
+    before = {os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs}
+    out = corpus_pipeline.run(spark, sf)
+    new = {os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs} - before
+    assert out.count() > 0 and {p.split("/")[-2].rsplit("-", 1)[0] for p in new if p.endswith(".parquet")} == {"pii"}
