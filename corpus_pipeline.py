@@ -2,13 +2,25 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of
-``documents``.
+``documents``; other columns of ``docs`` are kept as they are, whatever their
+names.
+
+Edge cases, the same in every stage: null text counts as empty (and stays null
+where nothing is changed); an empty table gives an empty one. Quality: without
+labels all scores are 0.5 and nothing goes. Near duplicates: of texts that are
+near copies one stays, ties going to the least (doc_id, hash of the text);
+texts without words all stay; other texts under an id that is repeated, and rows
+without an id, stay unless they are copies themselves. Repeated passages: rows
+without an id are left whole; a text's places are cut in that text only, though
+others share its id; what is left of a text may be empty. Personal data: where
+spans overlap the earlier is replaced whole. Packing: a text without tokens is
+one token, and rows are packed as often as they occur. Texts are taken whole,
+however long.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tesserae.llm import common, minhash, packing, pii, quality, windows
 from tesserae.session import ship
@@ -21,15 +33,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near duplicates (five words, 0.8)."""
+    """Keeps one document of each group of near duplicates (five words, 0.8), that of least id; see ``minhash.keep_one``.
+
+    Documents without words, without an id or with an id that others have stay
+    unless they are near duplicates themselves; rows that repeat one stay once.
+    """
     ship(spark)
-    groups = minhash.near_duplicates(common.documents(docs), 5, 80)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return minhash.keep_one(docs, 5, 80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document has as well."""
+    """Cuts passages of 50 words or more that an earlier document has as well; see ``windows.cut_repeats``."""
     ship(spark)
     return windows.cut_repeats(docs)
 
@@ -53,10 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; a stage's tables go once its result is written."""
     stash = common.Stash(spark)
     docs = common.table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if i == len(STAGES) - 1 else stash.write(out, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with common.closing():
+            new = stash.write(stage(spark, docs, sf_dir), name)
+        stash.drop(docs)
+        docs = new
+    return STAGES[-1][1](spark, docs, sf_dir)
