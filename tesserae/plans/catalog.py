@@ -699,12 +699,12 @@ def gershgorin(s, d):
 
 
 # Two coupled sites for each supplier, [[a, b], [b, a]] with eigenvalues a + b and a - b: every function of it has a closed form.
-_PAIR = "h AS (SELECT s_suppkey k, (10 + s_suppkey % 5) / 20.0 a, (1 + s_suppkey % 7) / 20.0 b, CAST(1 + s_nationkey % 3 AS DOUBLE) x, CAST(s_suppkey % 4 AS DOUBLE) y FROM supplier)"
+_PAIR = "h AS (SELECT s_suppkey k, (10 + s_suppkey % 5) / 20.0 a, (1 + s_suppkey % 7) / 24.0 b, CAST(1 + s_nationkey % 3 AS DOUBLE) x, CAST(s_suppkey % 4 AS DOUBLE) y FROM supplier)"
 
 
 def _pair(s, d):
     k = F.col("s_suppkey")
-    x = generate.read(s, d, "supplier").select(k, ((10 + k % 5) / 20.0).alias("a"), ((1 + k % 7) / 20.0).alias("b"))
+    x = generate.read(s, d, "supplier").select(k, ((10 + k % 5) / 20.0).alias("a"), ((1 + k % 7) / 24.0).alias("b"))
     e = lambda i, j, v: F.struct((2 * k + i).alias("bi"), (2 * k + j).alias("bj"), F.lit(0).alias("r"), F.lit(0).alias("c"), F.col(v).alias("v"))
     return x.select(F.explode(F.array(e(0, 0, "a"), e(1, 1, "a"), e(0, 1, "b"), e(1, 0, "b"))).alias("e")).select("e.*")
 
