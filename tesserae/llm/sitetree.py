@@ -18,9 +18,9 @@ A branch is removed from each page if it and all below it are under
 ``IMPORTANCE``. Flow elements without a class (headings, paragraphs, items and
 so on) are no branches of their own: they go with the branch they are in, so an
 article's usual headings stay. Any other text that over half of a host's pages
-have goes wherever it stands. Nodes on few pages (under ``MIN_PAGES``, or under a
-thousandth of the host's, which bounds a tree's size) are important: the tree
-can't tell. Equal pages of a host count once.
+have goes wherever it stands. Nodes on few pages (under ``MIN_PAGES``, however
+many the host has) are important: the tree can't tell. Equal pages of a host
+count once.
 
 Entropy can't tell menus, adverts or comments that are new on every page, nor
 anything on hosts of few pages. There labels decide: elements that say what they
@@ -29,8 +29,8 @@ or class word never are main text.
 
 Scale: pages are parsed once; their blocks are written with hashes of paths,
 texts and styles. Only hashes go to the tree, in partial sums, so a host with a
-third of all pages is no hot task; one host's tree is at most a thousand times a
-page's paths. The hosts' lists of what goes are broadcast only if few, else
+third of all pages is no hot task; one host's tree, a row for each path on
+``MIN_PAGES`` pages or more, is held at once. The hosts' lists of what goes are
 joined with salted hosts.
 
 Edge cases: null or empty html, or pages without text, give an empty text; a
@@ -54,12 +54,10 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import Stash
 
 MIN_PAGES = 8
-SHARE_OF_HOST = 1000
 IMPORTANCE = 0.4
 BASE = 64
 DECAY = 0.9
 REPEATED = 0.5
-BROADCAST_ROWS = 20_000
 SALTS = 32
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^>]*+)>", re.S)
@@ -266,11 +264,10 @@ def _resolve(importance: float):
 def _tree(parsed: DataFrame, importance: float, min_pages: int) -> tuple[DataFrame, DataFrame]:
     """The style tree of each host (see ``_TREE``), and host, content of texts on most of its pages."""
     slim = parsed.select("host", "page", F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["content"].alias("content"))).alias("texts"), F.array_distinct(F.transform(F.filter("blocks", lambda b: ~b["heading"]), lambda b: b["content"])).alias("plain"), "styles").dropDuplicates(["host", "page"])
-    enough = F.greatest(F.lit(min_pages), F.ceil(F.col("all") / SHARE_OF_HOST))
     hosts = slim.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     one = slim.select("host", F.explode("styles").alias("s")).groupBy("host", "s.path", "s.style").agg(F.count(F.lit(1)).alias("k"), F.min("s.parent").alias("parent"), F.min("s.flow").alias("flow"))
     pages = slim.select("host", F.explode(F.array_distinct(F.transform("styles", lambda s: s["path"]))).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
-    pages = pages.join(hosts, "host").where(F.col("pages") >= enough).select("host", "path", "pages")
+    pages = pages.where(F.col("pages") >= min_pages)
     total = one.groupBy("host", "path").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_styles"), F.sum(F.col("k") * F.log("k")).alias("x"), F.min("parent").alias("parent"), F.min("flow").alias("flow"))
     # - sum p log p = log n - sum k log k / n
     shown = F.least(F.lit(1.0), (F.log("n") - F.col("x") / F.col("n")) / F.log(F.least(F.col("pages"), F.lit(BASE)).cast("double")))
@@ -297,13 +294,9 @@ def extract(df: DataFrame, min_pages: int = MIN_PAGES, importance: float = IMPOR
     parsed = stash.write(_parsed(df), "parsed")
     tree, repeated = _tree(parsed, importance, min_pages)
     gone = tree.where("noisy").select("host", F.col("path").alias("p"), F.lit(None).cast("long").alias("t")).union(repeated.select("host", F.lit(None).cast("long"), "content"))
-    gone = stash.write(gone.groupBy("host").agg(F.collect_list("p").alias("noisy"), F.collect_list("t").alias("repeated"), F.count(F.lit(1)).alias("n")), "gone")
-    size = gone.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if size <= BROADCAST_ROWS:
-        pages = parsed.join(F.broadcast(gone), "host", "left")
-    else:
-        salted = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pages = parsed.withColumn("salt", F.pmod(F.col("page"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    gone = stash.write(gone.groupBy("host").agg(F.collect_list("p").alias("noisy"), F.collect_list("t").alias("repeated")), "gone")
+    salted = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pages = parsed.withColumn("salt", F.pmod(F.col("page"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     none = F.array().cast("array<long>")
     kept = F.filter("blocks", lambda b: ~b["noise"] & ~F.array_contains(F.coalesce("noisy", none), b["path"]) & (b["heading"] | ~F.array_contains(F.coalesce("repeated", none), b["content"])))
     return pages.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))

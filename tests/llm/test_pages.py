@@ -98,3 +98,12 @@ def test_a_very_long_page(spark):
     text = "word " * 400_000
     df = spark.createDataFrame([(1, "http://l.example/", f"<p>{text}</p>" + "<div>" * 3000 + "deep")], "page_id long, url string, html string")
     assert sitetree.op6(df).first()["n_chars"] == len(text.strip()) + 5
+
+
+def test_verdicts_do_not_depend_on_how_many_pages_a_host_has(spark):
+    """A line that two pages have goes, whether the host has 900 pages or 2500."""
+    page = lambda i: "<body>" + ("<div class='z'>Of both</div>" if i < 2 else "") + f"<div class='b'><p>Story {i} in its words {i * 7}</p></div></body>"
+    for n in (900, 2500):
+        df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(n)], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in sitetree.extract(df, min_pages=2).where("page_id < 3").collect()}
+        assert got == {i: f"Story {i} in its words {i * 7}" for i in range(3)}, n
