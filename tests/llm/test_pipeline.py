@@ -56,3 +56,18 @@ def test_run_leaves_only_its_last_input(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     new = {os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs} - before
     assert out.count() > 0 and {p.split("/")[-2].rsplit("-", 1)[0] for p in new if p.endswith(".parquet")} == {"pii"}
+
+
+def test_substring_stage_cuts_all_similar_passages(spark, sf):
+    """Ten lines of 30 words stand in 70 documents each; of those the 50th has what the 20th has round it but for one word."""
+    words = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    rows = []
+    for k in range(10):
+        for i in range(70):
+            who = f"{k}_20" if i == 50 else f"{k}_{i}"
+            left, right = words(f"u{who}_", 20), words(f"v{who}_", 10)
+            left = left.replace(f"u{who}_14", "edit") if i == 50 else left
+            rows.append((100 * k + i, f"{words(f'c{k}_{i}_', 30)} {left} {words(f'l{k}_', 30)} {right} {words(f'd{k}_{i}_', 30)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: len(r["text"].split()) for r in dict(corpus_pipeline.STAGES)["substring_dedup"](spark, df, sf).collect()}
+    assert cut == {100 * k + i: 60 if i == 50 else 120 for k in range(10) for i in range(70)}
