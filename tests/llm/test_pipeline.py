@@ -71,3 +71,15 @@ def test_substring_stage_cuts_all_similar_passages(spark, sf):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     cut = {r["doc_id"]: len(r["text"].split()) for r in dict(corpus_pipeline.STAGES)["substring_dedup"](spark, df, sf).collect()}
     assert cut == {100 * k + i: 60 if i == 50 else 120 for k in range(10) for i in range(70)}
+
+
+def test_substring_stage_sends_no_texts_for_short_lines(spark, sf, monkeypatch):
+    """Lines of 14 words in 30 documents are no reason to compare these; texts are sent for pairs only."""
+    from tesserae.llm import windows
+
+    words = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    df = spark.createDataFrame([(i, " ".join(f"{words(f'l{k}_', 14)} {words(f'a{i}_{k}_', 30)}" for k in range(8))) for i in range(30)], "doc_id long, text string")
+    sent, compared = [], windows._compared
+    monkeypatch.setattr(windows, "_compared", lambda docs, names, pairs, stash: sent.append(pairs.count()) or compared(docs, names, pairs, stash))
+    cut = dict(corpus_pipeline.STAGES)["substring_dedup"](spark, df, sf)
+    assert {tuple(r) for r in cut.collect()} == {tuple(r) for r in df.collect()} and sum(sent) == 0
