@@ -10,17 +10,40 @@ from pyspark.sql import functions as F
 from tesserae.schema import PLACE
 
 
+#: Bytes of a stored table for each partition that it is dealt into.
+PART_BYTES = 2 << 20
+
+
+def parts(table: DataFrame) -> int:
+    """Partitions for a stored table, so that what a task holds stays the same while the table grows."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the test data."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the test data; shuffles begin with as many partitions as it needs, and Spark joins small ones."""
+    x = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key, n = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", parts(x)
+    if n > int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(key, n)
+    return x
 
 
 def cooccurrence(spark: SparkSession, sf_dir: str, by: str = "l_partkey", q: str = "l_quantity") -> DataFrame:
-    """A_ij = sum over orders of q_i q_j for the keys that ``by`` (SQL) gives the order's lines, as a matrix of 1 x 1 blocks."""
-    x = read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(by).alias("k"), F.expr(q).cast("double").alias("q"))
-    y = x.select("l_orderkey", F.col("k").alias("j"), F.col("q").alias("p"))
-    out = x.join(y, "l_orderkey").groupBy(F.col("k").alias("bi"), F.col("j").alias("bj")).agg(F.sum(F.col("q") * F.col("p")).alias("v"))
-    return out.select("bi", "bj", F.lit(0).alias("r"), F.lit(0).alias("c"), "v")
+    """A_ij = sum over orders of q_i q_j for the keys that ``by`` (SQL) gives the order's lines, as a matrix of 1 x 1 blocks.
+
+    Only pairs with i <= j are made and summed, as A is symmetric. Orders are
+    dealt into partitions of bounded size: nearly all pairs of one differ, so
+    the partial sums of a task hold a row for each.
+    """
+    lines = read(spark, sf_dir, "lineitem")
+    x = lines.select("l_orderkey", F.expr(by).alias("k"), F.expr(q).cast("double").alias("q")).repartition(parts(lines), "l_orderkey")
+    y = x.select(F.col("l_orderkey").alias("_o"), F.col("k").alias("j"), F.col("q").alias("p"))
+    once = F.coalesce(F.col("k") <= F.col("j"), F.lit(True))  # a missing key is a key
+    half = x.join(y, (F.col("l_orderkey") == F.col("_o")) & once).groupBy(F.col("k").alias("i"), "j").agg(F.sum(F.col("q") * F.col("p")).alias("v"))
+    at = lambda i, j: F.struct(F.col(i).alias("bi"), F.col(j).alias("bj"))
+    both = F.when(F.col("i") < F.col("j"), F.array(at("i", "j"), at("j", "i"))).otherwise(F.array(at("i", "j")))
+    return half.select(F.explode(both).alias("at"), "v").select("at.bi", "at.bj", F.lit(0).alias("r"), F.lit(0).alias("c"), "v")
 
 
 def blocked(a: DataFrame) -> DataFrame:
