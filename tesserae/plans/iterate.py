@@ -18,14 +18,20 @@ from tesserae.schema import PLACE, constant, is_complex, value
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in ``spark.checkpoint.dir`` where that is set."""
+    """A reliable checkpoint, in ``spark.checkpoint.dir`` where that is set.
+
+    Spark's keeps the size that it guessed for the plan. With a join in each
+    step, the next guess is a power of the last, and after some twenty steps
+    its digits alone take hours; so only the rows are kept.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tesserae-"))
-    return df.checkpoint()
+    kept = df.checkpoint()._jdf
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), df.sparkSession)
 
 
 def _real(*frames: DataFrame) -> None:

@@ -2,8 +2,11 @@
 
 import re
 
+import numpy as np
 import pytest
 
+from tesserae.operators import products
+from tesserae.plans import iterate
 from tesserae.sources import generate
 
 
@@ -41,3 +44,15 @@ def test_cooccurrence_with_missing_keys(spark, tmp_path):
             if o == u:
                 want[i, j] = want.get((i, j), 0.0) + p * q
     assert got == want
+
+
+def test_a_checkpoint_forgets_the_guessed_size(spark):
+    """Five products in a row: the planner's guess at the bytes is no larger after the last than after the first."""
+    a = spark.createDataFrame([(0, 0, 0, 0, 0.5), (0, 1, 0, 0, 0.25), (1, 0, 0, 0, 0.25), (1, 1, 0, 0, 0.5)], "bi long, bj long, r int, c int, v double")
+    guess = lambda x: int(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    p = first = iterate.cut(a)
+    for _ in range(5):
+        p = iterate.cut(products.spgemm(p, a))
+    assert guess(p) <= guess(first)
+    want = np.linalg.matrix_power(np.array([[0.5, 0.25], [0.25, 0.5]]), 6)
+    assert {(r["bi"], r["bj"]): r["v"] for r in p.collect()} == pytest.approx({(i, j): want[i, j] for i in (0, 1) for j in (0, 1)})
