@@ -97,14 +97,15 @@ def half_preconditioner(root: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 
 def _recurrence(h: DataFrame, x: DataFrame, c: np.ndarray, every: int) -> DataFrame:
-    """sum c_k T_k(H) x; H has its spectrum in [-1, 1]."""
-    t0, t1 = x, cut(spmv(h, x))
+    """sum c_k T_k(H) x, cut every ``every`` terms; H has its spectrum in [-1, 1]."""
+    step = lambda t: spmv(h, t.hint("merge"))  # noqa: E731 - a broadcast would send each vector to the driver
+    t0, t1 = x, cut(step(x))
     y = vector_axpby(c[0], t0, c[1] if len(c) > 1 else 0.0, t1)
     for k in range(2, len(c)):
-        t0, t1 = t1, vector_axpby(2.0, spmv(h, t1), -1.0, t0)
+        t0, t1 = t1, cut(vector_axpby(2.0, step(t1), -1.0, t0))  # two later ones and the sum read it
         y = vector_axpby(1.0, y, c[k], t1)
         if k % every == 0:
-            t0, t1, y = cut(t0), cut(t1), cut(y)
+            y = cut(y)
     return y
 
 

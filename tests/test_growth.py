@@ -56,3 +56,25 @@ def test_a_checkpoint_forgets_the_guessed_size(spark):
     assert guess(p) <= guess(first)
     want = np.linalg.matrix_power(np.array([[0.5, 0.25], [0.25, 0.5]]), 6)
     assert {(r["bi"], r["bj"]): r["v"] for r in p.collect()} == pytest.approx({(i, j): want[i, j] for i in (0, 1) for j in (0, 1)})
+
+
+def test_a_recurrence_makes_each_product_once(spark, monkeypatch):
+    """Four terms between two cuts: products are read from checkpoints, so plans stay small, and no vector goes to the driver."""
+    plans = []
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(iterate, "cut", spy)
+    h = spark.createDataFrame([(0, 0, 0, 0, 0.5), (0, 1, 0, 0, 0.25), (1, 0, 0, 0, 0.25), (1, 1, 0, 0, 0.5)], "bi long, bj long, r int, c int, v double")
+    x = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0)], "b long, r int, v double")
+    c = [0.5, 0.25, 0.125, 0.0625, 1.0, 2.0, 3.0, 4.0]
+    got = {r["b"]: r["v"] for r in iterate._recurrence(h, x, np.array(c), 4).collect()}
+    assert max(p.count("Join ") for p in plans) == 1 and not any("Broadcast" in p for p in plans)
+    m, t0, t1 = np.array([[0.5, 0.25], [0.25, 0.5]]), np.array([1.0, 2.0]), np.array([1.0, 1.25])
+    want = c[0] * t0 + c[1] * t1
+    for k in range(2, 8):
+        t0, t1 = t1, 2 * m @ t1 - t0
+        want = want + c[k] * t1
+    assert got == pytest.approx(dict(enumerate(want)))
