@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, reduce
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ class BlockGraph:
     def __init__(self, sizes: DataFrame, pattern: DataFrame):
         self.spark = sizes.sparkSession
         self.dims = sizes if "off" in sizes.columns else offsets(sizes.select(F.col("b").cast("long").alias("b"), F.col("n").cast("int").alias("n")))
-        self.pattern = pattern.select(F.col("bi").cast("long").alias("bi"), F.col("bj").cast("long").alias("bj")).distinct()
+        self._stored = pattern.select(F.col("bi").cast("long").alias("bi"), F.col("bj").cast("long").alias("bj"))
+        self.pattern = self._stored.distinct()
+        self._compared: WeakKeyDictionary[BlockGraph, tuple[bool, bool]] = WeakKeyDictionary()
 
     # -- constructors -----------------------------------------------------
     @classmethod
@@ -113,14 +116,28 @@ class BlockGraph:
         mine = self.pattern.join(owned.select(F.col("b").alias("bi")), "bi", "left_semi").select(F.col("bj").alias("b")).distinct()
         return mine.join(owned.select("b"), "b", "left_anti")
 
+    def _against(self, other: BlockGraph) -> tuple[bool, bool]:
+        """Whether ``other`` has blocks or sizes that are not here, and the reverse; one pass over both, done once.
+
+        Tables of the same plan have the same rows and are not read.
+        """
+        if other not in self._compared:
+            sides = [(g._stored.select(F.lit(False).alias("size"), F.col("bi").alias("x"), F.col("bj").alias("y")), g.dims.select(F.lit(True).alias("size"), F.col("b").alias("x"), F.col("n").cast("long").alias("y"))) for g in (self, other)]
+            parts = [d.withColumn("side", F.lit(k)) for pair in zip(*sides, strict=True) if not pair[0].sameSemantics(pair[1]) for k, d in enumerate(pair, 1)]
+            seen = (False, False)
+            if parts:
+                each = reduce(DataFrame.union, parts).groupBy("size", "x", "y").agg(F.bit_or("side").alias("side"))
+                only = lambda k: F.coalesce(F.max(F.col("side") == k), F.lit(False))
+                seen = tuple(each.agg(only(2), only(1)).first())
+            self._compared[other] = seen
+        return self._compared[other]
+
     def contains(self, other: BlockGraph) -> bool:
         """Whether the blocks of ``other`` are all here, of the same sizes."""
-        lost = other.pattern.join(self.pattern, ["bi", "bj"], "left_anti")
-        odd = other.dims.select("b", "n").join(self.dims.select("b", "n"), ["b", "n"], "left_anti")
-        return lost.isEmpty() and odd.isEmpty()
+        return not self._against(other)[0]
 
     def same(self, other: BlockGraph) -> bool:
-        return self is other or (self.contains(other) and other.contains(self))
+        return self is other or not any(self._against(other))
 
     def union(self, other: BlockGraph) -> BlockGraph:
         return BlockGraph(self.dims, self.pattern.union(other.pattern))

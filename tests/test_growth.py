@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from tesserae.api import BlockGraph
 from tesserae.operators import products
 from tesserae.plans import iterate
 from tesserae.sources import generate
@@ -78,3 +79,26 @@ def test_a_recurrence_makes_each_product_once(spark, monkeypatch):
         t0, t1 = t1, 2 * m @ t1 - t0
         want = want + c[k] * t1
     assert got == pytest.approx(dict(enumerate(want)))
+
+
+def test_graphs_are_compared_in_one_pass(spark):
+    """Both directions, and sizes, from one reading of each graph; the same plan is not read at all."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(rows, names):
+        def see(batches):
+            reads.add(1)
+            yield from batches
+
+        df = spark.createDataFrame(rows, names).coalesce(1)
+        return df.mapInArrow(see, df.schema)
+
+    whole = counted([(0, 0), (0, 1), (1, 1)], "bi long, bj long")
+    part = counted([(0, 0), (1, 1)], "bi long, bj long")
+    sizes, other = (spark.createDataFrame([(0, 2), (1, n)], "b long, n int") for n in (3, 4))
+    a, b, p, q = BlockGraph(sizes, whole), BlockGraph(sizes, whole), BlockGraph(sizes, part), BlockGraph(other, whole)
+    assert a.same(b) and a.contains(b) and reads.value == 0
+    assert not a.same(p) and a.contains(p) and reads.value == 2
+    assert not p.contains(a) and not p.same(a)
+    assert not a.contains(q) and not q.same(a)
+    assert BlockGraph(sizes, whole.where("bi > 5")).same(BlockGraph(sizes, part.where("bi > 6")))
