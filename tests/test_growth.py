@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tesserae.api import BlockGraph
-from tesserae.operators import products
+from tesserae.operators import products, rows
 from tesserae.plans import iterate
 from tesserae.sources import generate
 
@@ -102,3 +102,42 @@ def test_graphs_are_compared_in_one_pass(spark):
     assert not p.contains(a) and not p.same(a)
     assert not a.contains(q) and not q.same(a)
     assert BlockGraph(sizes, whole.where("bi > 5")).same(BlockGraph(sizes, part.where("bi > 6")))
+
+
+def _matrix(rng, n_rows: int, n_cols: int, count: int, block: int = 2):
+    """Entries of a random block matrix, some of its rows and columns missing, and the same as a dictionary."""
+    blocks = {(int(rng.integers(n_rows)), int(rng.integers(n_cols))) for _ in range(count)}
+    entries = {(i, j, r, c): float(rng.integers(-3, 4)) for i, j in blocks for r in range(block) for c in range(block)}
+    return entries, [(*k, v) for k, v in entries.items()]
+
+
+PLACES = "bi long, bj long, r int, c int, v double"
+
+
+@pytest.fixture(params=[(2, 1 << 20), (512, 1 << 20), (4, 7)], ids=["small panels", "one panel", "few pairs at once"])
+def panels_of(request, monkeypatch):
+    monkeypatch.setattr(rows, "PANEL", request.param[0])
+    monkeypatch.setattr(rows, "PAIRS", request.param[1])
+
+
+def test_khop_makes_no_product_rows(spark, panels_of):
+    """Pattern and values as in plain Python, for blocks of two sizes; no shuffle is by the result's rows and columns."""
+    rng = np.random.default_rng(3)
+    entries, listed = _matrix(rng, 12, 12, 25)
+    listed += [(None, 3, 0, 0, 1.0), (3, None, 0, 0, 1.0)]
+    a = spark.createDataFrame(listed, PLACES)
+    blocks = {(i, j) for i, j, *_ in entries}
+    two = {(i, k) for i, j in blocks for h, k in blocks if h == j}
+    three = {(i, k) for i, j in two for h, k in blocks if h == j}
+    plain = a.where("bi IS NOT NULL AND bj IS NOT NULL")
+    for k, want in ((2, two), (3, three)):
+        got = [tuple(x) for x in products.khop_pattern(plain, k).collect()]
+        assert sorted(got) == sorted(want)
+        got = {tuple(x[:4]): x[4] for x in products.khop(a, k).collect()}
+        assert got == {(i, j, r, c): entries.get((i, j, r, c), 0.0) for i, j in want for r in (0, 1) for c in (0, 1)}
+    lost = [tuple(x) for x in products.khop_pattern(a, 2).collect()]
+    own = {(None if i == -1 else i, None if j == -1 else j) for i, j in {(i, k) for i, j in blocks | {(-1, 3)} for h, k in blocks | {(3, -1)} if h == j}}
+    assert len(lost) == len(own) and set(lost) == own
+    plan = products.khop_pattern(plain, 2)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("FlatMapGroupsInArrow")]
+    assert "Exchange" not in above and "Aggregate" not in above
