@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.api import BlockGraph
 from tesserae.operators import products, rows
@@ -141,3 +142,43 @@ def test_khop_makes_no_product_rows(spark, panels_of):
     plan = products.khop_pattern(plain, 2)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("FlatMapGroupsInArrow")]
     assert "Exchange" not in above and "Aggregate" not in above
+
+
+@pytest.mark.parametrize("cx", [False, True], ids=["real", "complex"])
+def test_products_by_panels(spark, panels_of, cx):
+    """Values, places and missing ones as in plain Python, at any panel and any number of pairs at once; products are not shuffled."""
+    rng = np.random.default_rng(5)
+    one, listed = _matrix(rng, 10, 9, 30)
+    two, other = _matrix(rng, 9, 11, 30)
+    w = lambda k: float(sum(k) % 5 - 2) if cx else 0.0
+    tail = lambda rows: [(*x, w(x[:4])) for x in rows] if cx else rows
+    kind = PLACES + (", w double" if cx else "")
+    a, b = spark.createDataFrame(tail(listed), kind), spark.createDataFrame(tail(other), kind)
+    want: dict = {}
+    for (i, k, r, m), v in one.items():
+        for (h, j, n, c), u in two.items():
+            if (k, m) == (h, n):
+                want[i, j, r, c] = want.get((i, j, r, c), 0) + (v + 1j * w((i, k, r, m))) * (u + 1j * w((h, j, n, c)))
+    made = products.spgemm(a, b)
+    got = {tuple(x[:4]): x["v"] + (1j * x["w"] if cx else 0) for x in made.collect()}
+    assert got == want and made.count() == len(want)
+    upper = {tuple(x[:4]) for x in products.spgemm(a, b, upper=True).collect()}
+    assert upper == {p for p in want if p[1] >= p[0]}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("FlatMapGroupsInArrow")]
+    assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_products_with_missing_numbers(spark, panels_of):
+    """As SQL has it: a missing value adds nothing but its place stays, missing rows and columns are a row and a column, a missing inner index meets nothing."""
+    a = spark.createDataFrame([(0, 0, 0, 0, 2.0), (0, 1, 0, 0, None), (1, 1, 0, 0, None), (None, 0, 0, 0, 3.0), (2, None, 0, 0, 9.0)], PLACES)
+    b = spark.createDataFrame([(0, 0, 0, 0, 5.0), (1, 0, 0, 0, 7.0), (0, None, 0, 0, 1.0), (None, 0, 0, 0, 9.0)], PLACES)
+    for x, y in ((a, b), (a, b.withColumn("v", F.when(F.col("v") == 7, None).otherwise(F.col("v"))))):
+        got = {(r["bi"], r["bj"]): r["v"] for r in products.spgemm(x, y).collect()}
+        assert got == {(0, 0): 10.0, (1, 0): None, (0, None): 2.0, (None, 0): 15.0, (None, None): 3.0}
+    y = b.withColumn("v", F.when(F.col("bi") == 0, F.col("v")))
+    full = a.where("v IS NOT NULL")
+    got = {(r["bi"], r["bj"]): r["v"] for r in products.spgemm(full, y).collect()}
+    assert got == {(0, 0): 10.0, (0, None): 2.0, (None, 0): 15.0, (None, None): 3.0}
+    got = {(r["bi"], r["bj"]): r["v"] for r in products.spgemm(full, b.withColumn("v", F.lit(None).cast("double"))).collect()}
+    assert got == dict.fromkeys([(0, 0), (0, None), (None, 0), (None, None)])
