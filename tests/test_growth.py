@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.api import BlockGraph
-from tesserae.operators import products, rows
+from tesserae.operators import atomic, products, rows, triples
 from tesserae.plans import iterate
 from tesserae.sources import generate
 
@@ -182,3 +182,26 @@ def test_products_with_missing_numbers(spark, panels_of):
     assert got == {(0, 0): 10.0, (0, None): 2.0, (None, 0): 15.0, (None, None): 3.0}
     got = {(r["bi"], r["bj"]): r["v"] for r in products.spgemm(full, b.withColumn("v", F.lit(None).cast("double"))).collect()}
     assert got == dict.fromkeys([(0, 0), (0, None), (None, 0), (None, None)])
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 300], ids=["whole", "in parts"])
+@pytest.mark.parametrize("periodic", [None, (True, True, False), (True, True, True)], ids=["open", "slab", "bulk"])
+def test_three_body_is_the_same_without_pairs(spark, monkeypatch, periodic, cells):
+    """As from the edges, for clusters, gaps, types without a radius, atoms outside of the cell and one without a place; nothing is shuffled after."""
+    monkeypatch.setattr(triples, "CELLS", cells)
+    rng = np.random.default_rng(11)
+    xyz = np.concatenate([rng.normal(0.0, 0.08, (40, 3)), rng.uniform(-1.0, 1.0, (60, 3))])
+    kinds = [None if i == 7 else i % 4 for i in range(100)]
+    at = spark.createDataFrame([(i, kinds[i], *map(float, xyz[i])) for i in range(100)] + [(100, 0, None, 0.0, 0.0)], "gid long, type int, x double, y double, zc double")
+    cell = [[0.6, 0.0, 0.0], [0.1, 0.5, 0.0], [0.0, 0.0, 0.7]] if periodic else None
+    rows_of = lambda df: sorted(tuple(r) for r in df.select("src", "dst", "rx", "ry", "rz").collect())
+    radius = [0.05, 0.06]
+    made = triples.three_body(at, 0.12, radius, radius, cell, periodic or False)
+    assert rows_of(made) == rows_of(atomic.graph3b(atomic.edges(at, radius, cell, periodic or False)))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
+    if periodic:
+        e = atomic.neighbours(at, 0.12, cell, periodic).drop("d2")
+        want = atomic.graph3b(atomic.within(at, e, cell, [0.05, 0.06], [0.03, 0.04]), e)
+        got = triples.three_body(at, 0.12, [0.05, 0.06], [0.03, 0.04], cell, periodic, by_vectors=True)
+        assert rows_of(got) == rows_of(want) and want.count() > 500
