@@ -1,7 +1,7 @@
 """Neighbour lists, edges, three-body graphs and Bloch sums.
 
 A neighbour list is a range join: atoms are put into cubes of the cutoff's
-size, each atom is offered to the 27 cubes around its own, and the join is on
+size, each image is offered to the 27 cubes around its own, and the join is on
 the cube with the distance as a residual test. On periodic axes atoms are first
 moved into the cell, then only those images are made that lie within the cutoff
 of it.
@@ -70,10 +70,13 @@ def _images(atoms: DataFrame, cutoff: float, cell: Sequence[Sequence[float]], pe
     return x, y
 
 
-def neighbours(atoms: DataFrame, cutoff: float, cell: Sequence[Sequence[float]] | None = None, pbc: bool | Sequence[bool] = True) -> DataFrame:
+def neighbours(atoms: DataFrame, cutoff: float, cell: Sequence[Sequence[float]] | None = None, pbc: bool | Sequence[bool] = True, places: bool = False) -> DataFrame:
     """src, dst, rx, ry, rz, d2 of all directed pairs with d2 < cutoff^2; images on the periodic axes if there is a cell.
 
-    Shifts count from the atoms' positions as given. Only an atom with itself at shift 0 is left out.
+    Shifts count from the atoms' positions as given. Only an atom with itself at
+    shift 0 is left out. With ``places``, also both atoms' fractional coordinates
+    (_p0, ..., _q0, ...) and the cube of src (_i, _j, _k), by which the rows are
+    dealt: what is summed by src within its cube needs no shuffle.
     """
     periodic = axes(pbc) if cell is not None else (False,) * 3
     if any(periodic):
@@ -83,14 +86,18 @@ def neighbours(atoms: DataFrame, cutoff: float, cell: Sequence[Sequence[float]]
     else:
         a = atoms.select(F.col("gid").alias("src"), *XYZ, *(F.lit(0).alias(f"v{d}") for d in range(3)))
         b = atoms.select(F.col("gid").alias("dst"), *(F.col(n).alias(f"{n}2") for n in XYZ), *(F.lit(0).alias(f"s{d}") for d in range(3)))
+    if places:
+        with_f = lambda d, g, p, base: d.join(base.select(F.col("gid").alias(g), *(f.alias(f"{p}{k}") for k, f in enumerate(fractional(cell)))), g)
+        a, b = with_f(a, "src", "_p", atoms), with_f(b, "dst", "_q", atoms)
     cube = lambda n: F.floor(F.col(n) / cutoff)
     for name, n in zip("ijk", XYZ, strict=True):
-        a = a.withColumn(name, F.explode(F.array(*(cube(n) + k for k in (-1, 0, 1)))))
-    b = b.withColumns({name: cube(f"{n}2") for name, n in zip("ijk", XYZ, strict=True)})
-    out = a.join(b, ["i", "j", "k"]).withColumn("d2", sum((F.col(f"{n}2") - F.col(n)) * (F.col(f"{n}2") - F.col(n)) for n in XYZ))
+        b = b.withColumn(name, F.explode(F.array(*(cube(f"{n}2") + k for k in (-1, 0, 1)))))
+    a = a.withColumns({name: cube(n) for name, n in zip("ijk", XYZ, strict=True)})
+    out = (a.hint("merge") if places else a).join(b, ["i", "j", "k"]).withColumn("d2", sum((F.col(f"{n}2") - F.col(n)) * (F.col(f"{n}2") - F.col(n)) for n in XYZ))
     out = out.withColumns({r: (F.col(f"s{d}") + F.col(f"v{d}")).cast("int") for d, r in enumerate(SHIFT)})
     itself = (F.col("src") == F.col("dst")) & (F.col("rx") == 0) & (F.col("ry") == 0) & (F.col("rz") == 0)
-    return out.where((F.col("d2") < cutoff * cutoff) & ~itself).select("src", "dst", *SHIFT, "d2")
+    more = [*(f"{p}{k}" for p in ("_p", "_q") for k in range(3)), *(F.col(n).alias(f"_{n}") for n in "ijk")] if places else []
+    return out.where((F.col("d2") < cutoff * cutoff) & ~itself).select("src", "dst", *SHIFT, "d2", *more)
 
 
 def edge_vectors(atoms: DataFrame, e: DataFrame, cell: Sequence[Sequence[float]] | None = None) -> DataFrame:
@@ -133,6 +140,7 @@ def weighted_images(images: DataFrame, image_weight: tuple[Column, Column], bloc
     """Complex sums over shifts of A(R) with weights (re, im): of the shift, and of the block beside.
 
     Images, and blocks, whose weight is 1e-12 or less in size add nothing, but their places stay.
+    Where images tell the cube of their row's atom (``neighbours`` with ``places``), sums stay in it.
     """
     w = Cx(*image_weight)
     use = F.sqrt(w.abs2()) > 1e-12
@@ -141,7 +149,8 @@ def weighted_images(images: DataFrame, image_weight: tuple[Column, Column], bloc
         use = use & (F.sqrt(w.abs2()) > 1e-12)
     x = Cx(F.col("v"), F.col("w") if "w" in images.columns else None) * w
     some = Cx(F.when(use, x.re).otherwise(0.0), F.when(use, x.im).otherwise(0.0))
-    return images.groupBy("bi", "bj", "r", "c").agg(*some.sums())
+    cube = [c for c in ("_i", "_j", "_k") if c in images.columns]
+    return images.groupBy(*cube, "bi", "bj", "r", "c").agg(*some.sums()).drop(*cube)
 
 
 def _phase(k: Sequence[float], parts: Sequence[Column | str]) -> tuple[Column, Column]:
@@ -157,7 +166,8 @@ def sample_k(images: DataFrame, k: Sequence[float], symmetric: bool = False, tau
     block = None
     if tau is not None:
         at = lambda side, p: tau[0].select(F.col("gid").alias(side), *(f.alias(f"{p}{d}") for d, f in enumerate(fractional(tau[1]))))
-        images = images.join(at("bi", "_p"), "bi").join(at("bj", "_q"), "bj")
+        if "_p0" not in images.columns:
+            images = images.join(at("bi", "_p"), "bi").join(at("bj", "_q"), "bj")
         block = _phase(k, [F.col(f"_q{d}") - F.col(f"_p{d}") for d in range(3)])
     out = weighted_images(images, _phase(k, SHIFT), block)
     if symmetric:

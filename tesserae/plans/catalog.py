@@ -620,7 +620,8 @@ _UNSKEW = "((x - 0.3 * y / 1.4) / 1.5)"
  p AS (SELECT src bi, dst bj, -2 * pi() * (0.1 * (rx + g.u - f.u) + 0.2 * (ry + g.w - f.w)) t FROM pn JOIN f ON f.gid = src JOIN f g ON g.gid = dst)
  SELECT bi, bj, 0 r, 0 c, round(sum(2.0 * cos(t)), 6) + 0.0 v, round(sum(2.0 * sin(t)), 6) + 0.0 w FROM p GROUP BY 1, 2""")
 def sample_k_positions(s, d):
-    e = _periodic(s, d).select("rx", "ry", "rz", F.col("src").alias("bi"), F.col("dst").alias("bj"), F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit(2.0).alias("v"))
+    near = atomic.neighbours(_atoms(s, d), 0.05, _CELL, (True, True, False), places=True)
+    e = near.select(*[c for c in near.columns if c.startswith("_")], "rx", "ry", "rz", F.col("src").alias("bi"), F.col("dst").alias("bj"), F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit(2.0).alias("v"))
     out = atomic.sample_k(e, (0.1, 0.2, 0.0), tau=(_atoms(s, d), _CELL))
     return out.select(*PLACE, (F.round("v", 6) + 0.0).alias("v"), (F.round("w", 6) + 0.0).alias("w"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.api import BlockGraph
 from tesserae.operators import atomic, products, rows, triples
-from tesserae.plans import iterate
+from tesserae.plans import catalog, iterate
 from tesserae.sources import generate
 
 
@@ -205,3 +205,10 @@ def test_three_body_is_the_same_without_pairs(spark, monkeypatch, periodic, cell
         want = atomic.graph3b(atomic.within(at, e, cell, [0.05, 0.06], [0.03, 0.04]), e)
         got = triples.three_body(at, 0.12, [0.05, 0.06], [0.03, 0.04], cell, periodic, by_vectors=True)
         assert rows_of(got) == rows_of(want) and want.count() > 500
+
+
+def test_phases_by_positions_shuffle_no_edges(spark, sf):
+    """Between the join of neighbours and the sums there is no exchange."""
+    plan = catalog.QUERIES["sample_k_positions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    before = plan[: plan.index("SortMergeJoin [i#")]
+    assert "HashAggregate" in before and "Exchange" not in before
